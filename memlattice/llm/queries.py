@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import cooccurrence, packing
+from . import cooccurrence, encoding, mixing, packing
 
 
 def _file_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +39,27 @@ def p2_certificates(spark: SparkSession, d: str) -> DataFrame:
     return packing.certificates(_packed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_packs, p2_certificates)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(read_table(spark, d, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text encoded and decoded again; same is whether it is the text it was."""
+    documents = read_table(spark, d, "documents")
+    back = encoding.decode(encoding.encode(documents)).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document of the target sources is in the mix."""
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_packs, p2_certificates, p6_ids, p6_round_trip, p7_mix, p7_shares)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PATH = rf"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(f, {_BLANKS}), chr(92), '/'), '//+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '^/|/$', '', 'g'), '')"
@@ -65,5 +85,6 @@ ORACLE_SQL = {
     "p1_found": _PAIRS + "select project_id, item_a as file_a, item_b as file_b from told where n_both >= 5 and n_both * n >= 4 * n_a * n_b",
     "p1_pairs": _PAIRS + """select project_id, item_a, item_b, n_both, n_a, n_b, n, (n_both * n) / (n_a * n_b)::double as lift,
   ((n_both::double + 0.5) * (n::double - n_a - n_b + n_both + 0.5)) / ((n_a::double - n_both + 0.5) * (n_b::double - n_both + 0.5)) as odds_ratio from told""",
+    "p6_round_trip": "select doc_id, true as same from documents",
     "p2_found": _VALID + "select budget_id, kind, candidate_id from c join b using (budget_id) where c.estimated_tokens > b.max_tokens",
 }
