@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import cooccurrence, encoding, mixing, packing
+from . import cooccurrence, encoding, encodings, mixing, packing
 
 
 def _file_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_packs, p2_certificates, p6_ids, p6_round_trip, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired(read_table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with the chain found and the text restored where possible."""
+    return encodings.repaired(read_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_packs, p2_certificates, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_restored)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PATH = rf"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(f, {_BLANKS}), chr(92), '/'), '//+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '^/|/$', '', 'g'), '')"
