@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from . import text_queries
 from .problem_queries import ORACLE_SQL as PROBLEM_SQL
 from .problem_queries import QUERIES as PROBLEM_QUERIES
 
-QUERIES = {**PROBLEM_QUERIES}
-ORACLE_SQL = {**PROBLEM_SQL}
+MODULES = (text_queries,)
+
+QUERIES = dict(PROBLEM_QUERIES)
+ORACLE_SQL = dict(PROBLEM_SQL)
+for module in MODULES:
+    QUERIES |= module.REGISTRY.queries
+    ORACLE_SQL |= module.REGISTRY.sql
