@@ -180,9 +180,11 @@ def _totals(packed: DataFrame) -> DataFrame:
     stats = packed.filter("status = 'bound'")
     sums = [F.sum(F.get("sums", F.lit(i))) for i in range(len(CUTS) + 2 * len(KS))]
     whole = stats.groupBy("budget_id", "capacity").agg(F.sum("packs").alias("n_packs"), F.max("room").alias("most"), F.array(*sums).alias("sums"))
-    cuts = F.transform(F.slice("sums", 1, len(CUTS)), lambda x: F.ceil(x / F.col("capacity")))
-    by_k = F.array(*(F.ceil((F.get("sums", F.lit(len(CUTS) + 2 * i)) * F.col("capacity") + F.get("sums", F.lit(len(CUTS) + 2 * i + 1)) * k) / (F.lit(k) * F.col("capacity"))) for i, k in enumerate(KS)))
-    least = F.when(F.col("capacity").isNull(), F.lit(1)).otherwise(F.greatest("most", F.array_max(cuts), F.array_max(by_k)))
+    unit = F.greatest("capacity", F.lit(1))
+    cuts = F.transform(F.slice("sums", 1, len(CUTS)), lambda x: F.ceil(x / unit))
+    at = lambda i: F.get("sums", F.lit(i))
+    by_k = F.array(*(F.ceil((at(len(CUTS) + 2 * i) * unit + at(len(CUTS) + 2 * i + 1) * k) / (unit * k)) for i, k in enumerate(KS)))
+    least = F.when(F.col("capacity") > 0, F.greatest("most", F.array_max(cuts), F.array_max(by_k))).otherwise(F.col("most"))
     return whole.select("budget_id", "capacity", "n_packs", least.cast("bigint").alias("lower_bound"))
 
 
