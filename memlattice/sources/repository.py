@@ -44,7 +44,7 @@ def is_binary(content: Column) -> Column:
 def scan(spark: SparkSession, folder: str, rules: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(files: path, language, extension, content_hash, n_bytes, n_lines, is_test, text; skipped: path, reason) of a folder.
 
-    Too large files are left out by the source, before any byte of them is read. Ignored and binary files are told as skipped.
+    Too large and empty files are left out by the source, before any byte is read; ignored, binary and too large files are told as skipped.
     """
     root = re.sub("^file:/*", "/", folder).rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
