@@ -14,10 +14,10 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour and type."""
-    w = read_table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    w = read_table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
@@ -32,10 +32,10 @@ def events_streamed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with m as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from m)
-select user_id, min(ts) as start, count(*) as n, sum(value) as total from s group by user_id, session""")
+select user_id, min(ts) as start, count(*) as n, round(sum(value), 2) as total from s group by user_id, session""")
 def events_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of each user: no more than half an hour between events."""
-    s = read_table(spark, d, "events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    s = read_table(spark, d, "events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return s.select("user_id", "start", "n", "total")
 
 
@@ -76,23 +76,23 @@ def key_integrity(spark: SparkSession, d: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("""select r_name, n_name, c_mktsegment, count(*) as n_customers, sum(c_acctbal) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name, c_mktsegment)""")
+@query("""select r_name, n_name, c_mktsegment, count(*) as n_customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name, c_mktsegment)""")
 def customer_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Customers and balances per region, nation and segment with all subtotals."""
     rows = read_table(spark, d, "customer").join(read_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.rollup("r_name", "n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_customers"), F.sum("c_acctbal").alias("balance"))
+    return rows.rollup("r_name", "n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("""with s as (select c_nationkey, c_custkey, sum(o_totalprice) as spent from customer join orders on c_custkey = o_custkey group by c_nationkey, c_custkey),
+@query("""with s as (select c_nationkey, c_custkey, round(sum(o_totalprice), 2) as spent from customer join orders on c_custkey = o_custkey group by c_nationkey, c_custkey),
 r as (select *, row_number() over (partition by c_nationkey order by spent desc, c_custkey) as rank from s)
-select c_nationkey, c_custkey, spent, cast(rank as bigint) as rank, spent - coalesce(lead(spent) over (partition by c_nationkey order by rank), 0) as ahead from r where rank <= 5""")
+select c_nationkey, c_custkey, spent, cast(rank as bigint) as rank, round(spent - coalesce(lead(spent) over (partition by c_nationkey order by rank), 0), 2) as ahead from r where rank <= 5""")
 def top_customers(spark: SparkSession, d: str) -> DataFrame:
     """The five customers of each nation that ordered most, and how far each is ahead of the next."""
-    spent = read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
+    spent = read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("spent"))
     told = spent.join(read_table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     top = ranking.top_per_group(told, ["c_nationkey"], [F.desc("spent"), F.asc("c_custkey")], 5)
     ahead = F.col("spent") - F.coalesce(F.lead("spent").over(Window.partitionBy("c_nationkey").orderBy("rank")), F.lit(0.0))
-    return top.select("c_nationkey", "c_custkey", "spent", F.col("rank").cast("bigint").alias("rank"), ahead.alias("ahead"))
+    return top.select("c_nationkey", "c_custkey", "spent", F.col("rank").cast("bigint").alias("rank"), F.round(ahead, 2).alias("ahead"))
 
 
 @query("""with o as (select o_custkey, o_orderkey, o_orderdate from orders) select l_orderkey, l_linenumber, datediff('day', o_orderdate, l_shipdate) as days from lineitem join o on o_orderkey = l_orderkey where l_shipdate < o_orderdate""")
