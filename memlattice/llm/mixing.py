@@ -120,8 +120,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, block_tokens:
     drawn = settle(placed.select("doc_id", "source", "n_tokens", F.coalesce(copies, F.lit(0)).cast("bigint").alias("copies")))
     reached = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_documents"))
     told = spark.createDataFrame(rows, plan).join(F.broadcast(reached), "source", "left").na.fill(0, ["mixed_tokens", "most_copies", "n_documents"])
-    everything = reached.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    shares = told.crossJoin(F.broadcast(everything)).select(  # the right side is one row
+    told = told.withColumn("all_tokens", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))  # a row per source
+    shares = told.select(
         "source", F.col("share").alias("target_share"), "max_repeats", "n_documents", "source_tokens", F.col("quota").alias("quota_blocks"), "mixed_tokens", "most_copies",
         F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).alias("reached_share"),
     )
