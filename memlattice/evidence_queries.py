@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .functions import text as T
-from .functions.cleaning import clean_id, clean_path, clean_paths
+from .functions.cleaning import clean_id, clean_ids, clean_path, clean_paths
 from .memory_queries import _BLANKS, _FILES, _LIVE, _MS, _PATH, _SD, _TIME, _candidates, _changed_files, _changes, _live, _missions, _valid
-from .operators import checks, flattening, ranking
+from .operators import checks, flattening, ordering, ranking
 from .plans.versions import newest
 from .registry import Registry
 from .sources.tables import read_table
@@ -161,3 +161,17 @@ def level_spread(spark: SparkSession, d: str) -> DataFrame:
     n = _live(spark, d).filter("abstraction_level is not null").groupBy("project_id", "abstraction_level").agg(F.count(F.lit(1)).alias("n"))
     best = F.max_by("abstraction_level", F.struct(F.col("n"), -F.array_position(F.array_sort(F.array(*map(F.lit, checks.LEVELS))), F.col("abstraction_level"))))
     return n.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_levels"), F.max("n").alias("most"), best.alias("commonest"))
+
+
+@query(f"""with recursive m as {_MS}, e as (select distinct m.mission_id as id, trim(r, {_BLANKS}) as needed from (select mission_id, project_id, unnest(depends_on) as r from m) m join m t on t.mission_id = trim(r, {_BLANKS}) and t.project_id = m.project_id),
+reach as (select id, needed from e union select r.id, e.needed from reach r join e on e.id = r.needed),
+stuck as (select distinct id from reach where id = needed or needed in (select id from reach where id = needed)),
+up as (select mission_id as id, 0 as level from m where mission_id not in (select id from stuck) and mission_id not in (select id from e)
+  union select e.id, level + 1 from up join e on e.needed = up.id where e.id not in (select id from stuck))
+select id as mission_id, cast(max(level) as integer) as level from up group by id union all select id, null from stuck""")
+def mission_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every mission by what it depends on in its project; null where dependencies go round in a circle."""
+    missions = _missions(spark, d).filter("mission_id is not null")
+    known = missions.select(F.col("mission_id").alias("needed"), "project_id")
+    needs = missions.select(F.col("mission_id").alias("id"), "project_id", F.explode(clean_ids("depends_on")).alias("needed")).join(known, ["needed", "project_id"], "left_semi")
+    return ordering.levels(missions.select(F.col("mission_id").alias("id")), needs.select("id", "needed")).withColumnRenamed("id", "mission_id")

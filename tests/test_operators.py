@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from memlattice.operators import checks, ranking
+from memlattice.operators import checks, ordering, ranking
 
 
 def test_overlap_like_brute_force(spark):
@@ -54,3 +54,11 @@ def test_node_rules(spark):
     got = {(r.node_id, r.rule) for r in checks.node_issues(nodes).collect()}
     assert got == {("bad", r) for r in ("missing title", "missing summary", "thin explanation", "confidence out of range", "unknown level", "no source files")} | {("none", "missing explanation"), ("none", "no source files")}
     assert checks.tree_metrics(nodes).collect()[0].mean_explanation_length == 54.67
+
+
+def test_levels(spark):
+    needs = [("b", "a"), ("c", "b"), ("c", "a"), ("c", "a"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
+    nodes = spark.createDataFrame([(n,) for n in "abcdxyzs"], "id string")
+    out = ordering.levels(nodes, spark.createDataFrame(needs, "id string, needed string"))
+    assert {r.id: r.level for r in out.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None, "z": None, "s": None}
+    assert ordering.levels(nodes.limit(0), out.select("id", F.col("id").alias("needed")).limit(0)).count() == 0
