@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import BLANKS, clean_id
+from ..plans.settle import settle
 from ..plans.versions import newest
 
 # Names under which writers wrap a report.
 WRAPPERS = ("report", "data", "payload", "evaluation", "result", "body")
+# Names of which a report has at least one.
+REPORT_FIELDS = ("tree", "issues", "context", "quality", "timestamp")
 #: How many layers of wrapping (texts within texts, lists of one report, wrapper objects) are taken off.
 LAYERS = 6
 
@@ -53,16 +56,12 @@ def _object(v: Column) -> Column:
 
 
 def _unwrap(v: Column) -> Column:
-    """One layer less of wrapping, or the same value if there is none."""
-    kind = F.schema_of_variant(v)
-    inside = F.coalesce(*(F.try_variant_get(v, f"$.{name}", "variant") for name in WRAPPERS))
-    is_report = F.coalesce(*(F.try_variant_get(v, f"$.{name}", "variant") for name in ("tree", "issues", "context", "quality", "timestamp"))).isNotNull()
-    return (
-        F.when(kind == "STRING", _parse(_text(F.try_variant_get(v, "$", "string"))))
-        .when(kind.startswith("ARRAY"), F.try_variant_get(v, "$[0]", "variant"))
-        .when(kind.startswith("OBJECT") & ~is_report & inside.isNotNull(), inside)
-        .otherwise(v)
-    )
+    """One layer less of wrapping, or the same value if there is none. What is no report, list or wrapper is read as a text, which
+    leaves a plain object as it is."""
+    has = lambda names: F.coalesce(*(F.try_variant_get(v, f"$.{name}", "variant") for name in names))
+    first, inside = F.try_variant_get(v, "$[0]", "variant"), has(WRAPPERS)
+    as_text = _parse(_text(F.try_variant_get(v, "$", "string")))
+    return F.when(has(REPORT_FIELDS).isNotNull(), v).when(first.isNotNull(), first).when(inside.isNotNull(), inside).otherwise(as_text)
 
 
 def _listed(value: Column) -> Column:
@@ -91,13 +90,17 @@ def reports(raw_reports: DataFrame) -> DataFrame:
     return rows.filter("report_id is not null").select("report_id", "project_id", "received_at", report.alias("report"))
 
 
+def _with_evidence(e: Column) -> Column:
+    return F.struct(e["place"].alias("place"), e["item"].alias("item"), _listed(F.try_variant_get(e["item"], "$.evidence", "variant")).alias("evidence"))
+
+
 def report_tables(raw_reports: DataFrame) -> dict[str, DataFrame]:
     """The flat tables ``tree``, ``issues`` and ``evidence`` of the evaluation reports.
 
     Every row has report_id, project_id and pos, its place in the record ('0', 'i' or 'i.j'). Fields in camel and snake case
     are one; absent and null fields are null. Payloads that are null, empty or not complete JSON give no rows.
     """
-    nested = reports(raw_reports).withColumn("issues", _listed(F.try_variant_get("report", "$.issues", "variant")))
+    nested = reports(raw_reports).withColumn("issues", F.transform(_listed(F.try_variant_get("report", "$.issues", "variant")), _with_evidence))
     tree = F.try_variant_get("report", "$.tree", "variant")
     counts = {
         "node_count": "nodeCount", "orphan_node_count": "orphanNodeCount", "nodes_without_summaries": "nodesWithoutSummaries",
@@ -113,13 +116,12 @@ def report_tables(raw_reports: DataFrame) -> dict[str, DataFrame]:
         F.concat_ws(".", e["place"].cast("string"), p["place"].cast("string")).alias("pos"), e["place"].cast("string").alias("issue_pos"),
         _field(p["item"], "ref").alias("ref"), _field(p["item"], "note").alias("note"), _field(p["item"], "at.line", kind="bigint").alias("line"),
     )
-    proofs = F.flatten(F.transform("issues", lambda e: F.transform(_listed(F.try_variant_get(e["item"], "$.evidence", "variant")), lambda p: proof(e, p))))
-    keys = ["report_id", "project_id"]
-    return {
-        "tree": nested.filter(_object(tree).isNotNull()).select(*keys, F.inline(F.array(tree_row))),
-        "issues": nested.select(*keys, F.inline(F.transform("issues", issue))),
-        "evidence": nested.select(*keys, F.inline(proofs)),
-    }
+    projected = nested.select(
+        "report_id", "project_id", F.when(_object(tree).isNotNull(), F.array(tree_row)).alias("tree"), F.transform("issues", issue).alias("issues"),
+        F.flatten(F.transform("issues", lambda e: F.transform(e["evidence"], lambda p: proof(e, p)))).alias("evidence"),
+    )
+    projected = settle(projected)  # so that each payload is parsed once, not once for each table
+    return {child: projected.select("report_id", "project_id", F.inline(child)) for child in ("tree", "issues", "evidence")}
 
 
 def goal_tables(goal_affected_trees: DataFrame) -> dict[str, DataFrame]:
