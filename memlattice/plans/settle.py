@@ -12,31 +12,50 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+#: Folders of sessions that name none, as in tests, and the tables settled so far.
+_OWN_FOLDERS: dict[str, str] = {}
+_SETTLED: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-settled-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN_FOLDERS[app] = _OWN_FOLDERS.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-settled-")
     return folder.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a lineage cut that does not depend on any executor."""
+    """Write ``df`` as a table in the shared folder and read it back: a lineage cut that does not depend on any executor.
+
+    The table stays until ``discard`` or ``discard_all``, as results that are not computed yet read from it.
+    """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    _SETTLED.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a settled table that no later plan reads."""
     path = getattr(df, "_settled_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+        _SETTLED.remove(path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all settled tables that are left, once every result that reads them was written."""
+    while _SETTLED:
+        _delete(spark, _SETTLED.pop())
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

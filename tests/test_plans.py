@@ -36,3 +36,6 @@ def test_settled_tables_can_be_discarded(spark):
     assert df.count() == 5
     settle.discard(df)
     settle.discard(None)
+    other = settle.settle(spark.range(2).toDF("x"))
+    settle.discard_all(spark)
+    assert settle._SETTLED == [] and not __import__("os").path.exists(other._settled_at.removeprefix("file://"))
