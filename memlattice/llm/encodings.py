@@ -167,23 +167,29 @@ def _looks_garbled(word: str) -> bool:
     return any((back := ungarble(word, f"utf-8>{w}")) is not None and back != word for w in ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250"))
 
 
-def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, bucket, n): bigram counts of the passages of a task by script, each once per document, as they are (the first labels) and through each chain."""
-    words: Counter[str] = Counter()
+def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): the passages of each batch and in how many of its documents they are."""
     for batch in batches:
+        words: Counter[str] = Counter()
         for text in batch.column(0).to_pylist():
             if text:
                 words.update({w[:400] for w in passages(text)})
+        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+
+
+def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, bucket, n): bigram counts of words by script, each as often as documents have it, as they are (the first labels) and through each chain."""
     counts = np.zeros((N_LABELS, BUCKETS), np.int64)
-    for word, n in sorted(words.items()):
-        if _looks_garbled(word):
-            continue
-        script = script_of(word)
-        np.add.at(counts[script], bigrams(word), n)
-        for k, chain in enumerate(CHAINS, 1):
-            broken = garble(word, chain)
-            if broken is not None and broken != word:
-                np.add.at(counts[k * len(SCRIPTS) + script], bigrams(broken), n)
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if _looks_garbled(word):
+                continue
+            script = script_of(word)
+            np.add.at(counts[script], bigrams(word), n)
+            for k, chain in enumerate(CHAINS, 1):
+                broken = garble(word, chain)
+                if broken is not None and broken != word:
+                    np.add.at(counts[k * len(SCRIPTS) + script], bigrams(broken), n)
     label, bucket = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(label.astype("int32")), pa.array(bucket.astype("int32")), pa.array(counts[label, bucket])], ["label", "bucket", "n"])
 
@@ -193,7 +199,9 @@ def train(documents: DataFrame, training_documents: int = TRAINING_DOCUMENTS) ->
     per label and bucket, whatever the corpus; a corpus without passages gives equal weights."""
     share = min(1.0, training_documents / max(1, documents.count()))
     drawn = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else documents
-    counted = drawn.select("text").mapInArrow(_training_counts, "label int, bucket int, n bigint")
+    words = drawn.select("text").mapInArrow(_training_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    spread = words.repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    counted = spread.mapInArrow(_training_counts, "label int, bucket int, n bigint")
     sums = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((N_LABELS, BUCKETS), SMOOTHING)
     counts[sums["label"].to_numpy(), sums["bucket"].to_numpy()] += sums["n"].to_numpy()
