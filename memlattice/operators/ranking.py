@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,25 +12,37 @@ def top_per_group(scored: DataFrame, group: list[str], order: list, limit: int)
     return ranked.filter(F.col("rank") <= limit)
 
 
+#: Letters by which a word and what holds it are brought together.
+RUN = 4
+
+
+def _runs(word: str, least: int, most: int) -> Column:
+    """All different runs of ``least`` to ``most`` letters in the word."""
+    n = F.length(word)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(word), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(k) for k in range(least, most + 1))))
+
+
 def token_overlap(prompts: DataFrame, rows: DataFrame, within: list[str], prompt: str = "prompt_id", row: str = "row_id", whole: float = 2.0, part: float = 0.5) -> DataFrame:
     """Columns ``within``, prompt, row and score for all rows that share something with a prompt of the same group.
 
     Both sides have the columns ``within``, an id and tokens, an array of distinct words. A prompt word found among the
     row's words counts ``whole``; else, if it has more than three letters and holds or is held by one of them, ``part``.
-    Containment is decided once per pair of different words of the vocabularies, not per row, and only then joined back.
-    Null and empty token arrays match nothing.
+    Containment is decided once per pair of different words of the vocabularies, not per row: what is held has at its start
+    a run of up to four letters that is also somewhere in what holds it, so pairs meet by an equality join on such runs and
+    are verified after it. Null and empty token arrays match nothing.
     """
     wanted = prompts.select(*within, prompt, F.explode("tokens").alias("word"))
     told = rows.select(*within, row, F.explode("tokens").alias("token"))
-    equal = wanted.join(told.withColumnRenamed("token", "word"), [*within, "word"]).select(*within, prompt, row, "word", F.lit(whole).alias("score"))
-    words = wanted.filter(F.length("word") > 3).select(*within, "word").distinct()
+    words = wanted.select(*within, "word").distinct()
     vocabulary = told.select(*within, "token").distinct()
-    held = (F.col("token") != F.col("word")) & (F.col("token").contains(F.col("word")) | F.col("word").contains(F.col("token")))
-    pairs = words.join(vocabulary, within).filter(held)
-    partly = wanted.join(pairs, [*within, "word"]).join(told, [*within, "token"]).select(*within, prompt, row, "word").distinct()
-    every = equal.unionByName(partly.withColumn("score", F.lit(part)))
-    best = every.groupBy(*within, prompt, row, "word").agg(F.max("score").alias("score"))
-    return best.groupBy(*within, prompt, row).agg(F.sum("score").alias("score"))
+    equal = words.select(*within, F.col("word").alias("token"), "word", F.lit(whole).alias("score"))
+    long = words.filter(F.length("word") > 3)
+    inside = long.select(*within, "word", F.substring("word", 1, RUN).alias("run")).join(vocabulary.select(*within, "token", F.explode(_runs("token", RUN, RUN)).alias("run")), [*within, "run"]).filter(F.col("token").contains(F.col("word")))
+    around = long.select(*within, "word", F.explode(_runs("word", 0, RUN)).alias("run")).join(vocabulary.select(*within, "token", F.substring("token", 1, RUN).alias("run")), [*within, "run"]).filter(F.col("word").contains(F.col("token")))
+    partly = inside.unionByName(around).filter("token != word").select(*within, "token", "word", F.lit(part).alias("score"))
+    known = told.join(equal.unionByName(partly), [*within, "token"]).groupBy(*within, row, "word").agg(F.max("score").alias("score"))
+    return wanted.join(known, [*within, "word"]).groupBy(*within, prompt, row).agg(F.sum("score").alias("score"))
 
 
 def budget_selection(candidates: DataFrame, group: str, limits: dict[str, int], order: list) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -145,16 +145,26 @@ e as (select q.project_id, prompt_id, doc_id, word, case when word = token then
 b as (select project_id, prompt_id, doc_id, sum(s) as score from (select project_id, prompt_id, doc_id, word, max(s) as s from e group by all) group by all)
 select prompt_id, doc_id, cast(score as double) as score, cast(rank as bigint) as rank from (select *, row_number() over (partition by prompt_id order by score desc, doc_id) as rank from b) where rank <= 8""")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
-    """For the first line or so of every fiftieth document (doc_id divisible by 50) as a prompt: the eight documents of its project
-    that share most with it, whole words counting 2 and words that hold one another 0.5."""
-    docs = _documents(spark, d)
-    prompts = docs.filter("doc_id % 50 = 0").select("project_id", F.col("doc_id").alias("prompt_id"), T.prompt_tokens(F.substring("text", 1, 80)).alias("tokens"))
+    """For the first 80 characters of every fiftieth document (doc_id divisible by 50) as a prompt: the eight documents of its
+    project that share most with it, whole words counting 2 and words that hold one another 0.5. ``search_whole_documents``
+    takes the whole texts."""
+    return _searched(_documents(spark, d), F.substring("text", 1, 80))
+
+
+def _searched(docs: DataFrame, prompt: Column) -> DataFrame:
+    prompts = docs.filter("doc_id % 50 = 0").select("project_id", F.col("doc_id").alias("prompt_id"), T.prompt_tokens(prompt).alias("tokens"))
     rows = docs.select("project_id", F.col("doc_id").alias("row_id"), T.prompt_tokens("text").alias("tokens"))
     scored = ranking.token_overlap(prompts, rows, ["project_id"])
     top = ranking.top_per_group(scored, ["prompt_id"], [F.desc("score"), F.asc("row_id")], 8)
     return top.select("prompt_id", F.col("row_id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(None)
+def search_whole_documents(spark: SparkSession, d: str) -> DataFrame:
+    """As ``search_documents``, with the whole text of every fiftieth document as a prompt."""
+    return _searched(_documents(spark, d), F.col("text"))
+
+
 @query(r"""
 with m as (select distinct project_id, doc_id, unnest(regexp_extract_all(text, '(project|domain|subsystem|module|component|function)\.[a-z]+\.[a-z]+-[0-9a-z]{3}')) as node_id from documents),
 n as (select project_id, node_id, deleted_at from (select *, row_number() over (partition by project_id, node_id order by ingested_at desc) as rn from tree_nodes) where rn = 1)

@@ -21,6 +21,23 @@ def test_overlap_like_brute_force(spark):
     assert {(x.prompt_id, x.row_id): x.score for x in out.collect()} == want
 
 
+def test_overlap_of_short_repeated_and_long_words(spark):
+    prompts = [("p", 1, ["anana", "bananas", "abcd", "ab", None]), ("p", 2, ["x" * 300 + "end"])]
+    rows = [("p", 1, ["banana", "n", "abcd"]), ("p", 2, ["abcde", "nan", ""]), ("p", 3, ["xend", "an"]), ("p", 4, ["y" + "x" * 300 + "end!", None]), ("p", 5, ["cdab", "dab"])]
+    want = {}
+    for _, i, tokens in prompts:
+        for _, j, held in rows:
+            held = [x for x in held if x is not None]
+            score = sum(2.0 if t in held else 0.5 if len(t) > 3 and any(t in x or x in t for x in held) else 0 for t in tokens if t is not None)
+            if score:
+                want[i, j] = score
+    schema = "g string, {} int, tokens array<string>"
+    out = ranking.token_overlap(spark.createDataFrame(prompts, schema.format("prompt_id")), spark.createDataFrame(rows, schema.format("row_id")), ["g"])
+    assert {(x.prompt_id, x.row_id): x.score for x in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower() and all("run" in line for line in plan.splitlines() if "Join" in line and "contains" in line.lower())
+
+
 def test_selection_like_brute_force(spark):
     r = random.Random(2)
     limits = {"node": 3, "file": 5}

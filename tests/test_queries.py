@@ -45,6 +45,14 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_search_reads_prompts_beyond_80_characters(spark, tmp_path):
+    texts = ["filler " * 20 + "zebra quagga okapi", "zebra okapi", "quaggas", "filler", "nothing shared"]
+    rows = [(i if i else 50, "p", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, project_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.prompt_id, r.doc_id, r.score, r.rank) for r in __spark_entry__.queries()["search_whole_documents"](spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(50, 50, 8.0, 1), (50, 1, 4.0, 2), (50, 3, 2.0, 3), (50, 2, 0.5, 4)]
+
+
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(__spark_entry__.queries())
 
