@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.settle import discard, settle
+
 # The chains, each a list of steps (true encoding, encoding it was read with); '!' marks chains that lose characters.
 SINGLE_READERS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "iso8859-2", "iso8859-5", "iso8859-15", "cp932", "gbk")
 OTHER_PAIRS = (
@@ -168,44 +171,89 @@ def _looks_garbled(word: str) -> bool:
 
 
 def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): the passages of each batch and in how many of its documents they are."""
+    """(key, words): of each document with passages a hash of them in their order, and the different ones."""
     for batch in batches:
-        words: Counter[str] = Counter()
+        told = {}
         for text in batch.column(0).to_pylist():
-            if text:
-                words.update({w[:400] for w in passages(text)})
-        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+            if text and (found := passages(text)):
+                told[hashlib.md5("\n".join(found).encode("utf-8", "surrogatepass")).digest()] = sorted({w[:400] for w in found})
+        yield pa.RecordBatch.from_arrays([pa.array(told.keys(), pa.binary()), pa.array(told.values(), pa.list_(pa.string()))], ["key", "words"])
+
+
+def _count(counts: np.ndarray, word: str, n: int) -> None:
+    """Adds to counts (labels x buckets x 2) the bigrams of a word by its script, once and n times, as it is (the first labels) and through each chain."""
+    script = script_of(word)
+    np.add.at(counts[script], bigrams(word), (1, n))
+    for k, chain in enumerate(CHAINS, 1):
+        broken = garble(word, chain)
+        if broken is not None and broken != word:
+            np.add.at(counts[k * len(SCRIPTS) + script], bigrams(broken), (1, n))
 
 
 def _training_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, bucket, n): bigram counts of words by script, each as often as documents have it, as they are (the first labels) and through each chain."""
-    counts = np.zeros((N_LABELS, BUCKETS), np.int64)
+    """(label, bucket, once, n): bigram counts of the words that no common chain shows to be garbled, each word counted once and as often as texts have it."""
+    counts = np.zeros((N_LABELS, BUCKETS, 2), np.int64)
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not _looks_garbled(word):
+                _count(counts, word, n)
+    label, bucket = np.nonzero(counts[:, :, 0])
+    yield pa.RecordBatch.from_arrays([pa.array(label.astype("int32")), pa.array(bucket.astype("int32")), *map(pa.array, counts[label, bucket].T)], ["label", "bucket", "once", "n"])
+
+
+def _log_weights(counts: np.ndarray) -> np.ndarray:
+    smooth = counts + SMOOTHING
+    return np.log(smooth / smooth.sum(axis=-1, keepdims=True)).astype(np.float32)
+
+
+def _second_looks(batches: Iterator[pa.RecordBatch], once: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(word, n, back): the words that the classifier of these counts, held out from the word itself, restores to another one."""
+    restorer = Restorer(_log_weights(once))
     for batch in batches:
+        rows = []
         for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if _looks_garbled(word):
                 continue
             script = script_of(word)
-            np.add.at(counts[script], bigrams(word), n)
-            for k, chain in enumerate(CHAINS, 1):
-                broken = garble(word, chain)
-                if broken is not None and broken != word:
-                    np.add.at(counts[k * len(SCRIPTS) + script], bigrams(broken), n)
-    label, bucket = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(label.astype("int32")), pa.array(bucket.astype("int32")), pa.array(counts[label, bucket])], ["label", "bucket", "n"])
+            kept, others = restorer.weights[script].copy(), once[script].copy()
+            np.subtract.at(others, bigrams(word), 1)
+            restorer.weights[script] = _log_weights(others)
+            hit = restorer._judge(word)
+            restorer.weights[script] = kept
+            if hit and hit[1] != word:
+                rows.append((word, n, hit[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.int64(), pa.string()))], ["word", "n", "back"])
+
+
+def _collected(counted: DataFrame) -> np.ndarray:
+    """Counts N_LABELS x BUCKETS x 2: once and n."""
+    sums = counted.groupBy("label", "bucket").agg(F.sum("once").alias("once"), F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((N_LABELS, BUCKETS, 2), np.int64)
+    counts[sums["label"].to_numpy(), sums["bucket"].to_numpy()] = sums[["once", "n"]].to_numpy()
+    return counts
 
 
 def train(documents: DataFrame, training_documents: int = TRAINING_DOCUMENTS) -> np.ndarray:
-    """Log weights N_LABELS x BUCKETS (float32) of a multinomial naive Bayes classifier. The driver gets at most one number
-    per label and bucket, whatever the corpus; a corpus without passages gives equal weights."""
+    """Log weights N_LABELS x BUCKETS (float32) of a multinomial naive Bayes classifier.
+
+    Documents with the same passages count once. Of a first fit, which counts each different word once, each word is taken out
+    and judged: one that is restored to a word of more documents is garbled and no training word. The driver gets at most two
+    numbers per label and bucket of each fit, whatever the corpus; one without passages gives equal weights.
+    """
     share = min(1.0, training_documents / max(1, documents.count()))
     drawn = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if share < 1 else documents
-    words = drawn.select("text").mapInArrow(_training_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    spread = words.repartition(documents.sparkSession.sparkContext.defaultParallelism)
-    counted = spread.mapInArrow(_training_counts, "label int, bucket int, n bigint")
-    sums = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((N_LABELS, BUCKETS), SMOOTHING)
-    counts[sums["label"].to_numpy(), sums["bucket"].to_numpy()] += sums["n"].to_numpy()
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    context = documents.sparkSession.sparkContext
+    texts = drawn.select("text").mapInArrow(_training_words, "key binary, words array<string>").dropDuplicates(["key"])
+    words = settle(texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(context.defaultParallelism))
+    schema = "label int, bucket int, once bigint, n bigint"
+    counts = _collected(words.mapInArrow(_training_counts, schema))
+    shared = context.broadcast(counts[:, :, 0])
+    looked = words.mapInArrow(lambda batches: _second_looks(batches, shared.value), "word string, n bigint, back string")
+    garbled = looked.join(words.select(F.col("word").alias("back"), F.col("n").alias("n_back")), "back").filter("n_back > n").select("word", "n")
+    counts -= _collected(garbled.mapInArrow(_training_counts, schema))
+    shared.unpersist()
+    discard(words)
+    return _log_weights(counts[:, :, 1])
 
 
 class Restorer:

@@ -48,6 +48,16 @@ def test_found_and_restored_on_held_out_documents(spark):
     assert len(whole) >= 0.8 * len(truth)
 
 
+def test_many_copies_of_one_garbled_document(spark):
+    """A third of the rows are copies of a text garbled by a chain that no quick reversal shows; only their ASCII parts differ."""
+    sound = SOUND[5] + " Объём работы ограничен файлами."
+    rows = [(i, text + (" " + sound if i % 6 == 1 else ""), c) for i, text, c in corpus(1)[0] if not any(w in text for w in ("Ð", "╨"))]
+    copies = [(10_000 + i, f"Copy {i}. " + G.garble(sound, "cp1251>cp1252"), "") for i in range(len(rows) // 2)]
+    got = {r.doc_id: r for r in G.repaired(spark.createDataFrame(rows + copies, DOCS)).collect()}
+    assert [k for k, _, _ in copies if k not in got] == []
+    assert got[10_000].text == f"Copy 0. {sound}"
+
+
 def test_backticks_lost_characters_and_nothing(spark):
     weights = G.train(spark.createDataFrame(corpus(1)[0], DOCS))
     rows = [(1, "Sample cell: `GrÃ¶ÃŸe`. The reader prints “Größe”.", ""), (2, "Die Pr�fung und die L�nge der Datei", ""), (3, None, ""), (4, "", ""), (5, "plain", ""), (6, "x GrÃ¶ÃŸe `GrÃ¶ÃŸe` " + "a " * 50_000, ""), (7, "```\nGrÃ¶ÃŸe\n```", "")]
