@@ -13,6 +13,7 @@ import codecs
 import functools
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,6 +53,8 @@ GAIN = 4.0
 LEAST_LENGTH = 2
 #: Chains tried on a passage, from the most likely on.
 TRIED = 8
+#: Categories of characters that no restored passage has: controls, surrogates and unassigned ones; blanks and format characters may be.
+UNLIKELY = ("Cc", "Cs", "Cn")
 #: Passages whose result a worker keeps.
 KEPT = 100_000
 
@@ -284,7 +287,7 @@ class Restorer:
             return None
         for k in likely:
             back = ungarble(word, CHAINS[k - 1])
-            if back is not None and back != word and back.isprintable() and (CHAINS[k - 1].startswith("utf-8") or len(word) >= LEAST_LENGTH):
+            if back is not None and back != word and not any(unicodedata.category(c) in UNLIKELY for c in back) and (CHAINS[k - 1].startswith("utf-8") or len(word) >= LEAST_LENGTH):
                 after = self.scores(back)
                 if after[0] >= after.max() and after[0] > scores[0] + GAIN:
                     return CHAINS[k - 1], back

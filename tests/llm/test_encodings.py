@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from memlattice.llm import encodings as G
@@ -58,6 +59,15 @@ def test_many_copies_of_one_garbled_document(spark):
     assert got[10_000].text == f"Copy 0. {sound}"
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u3000", "\u202f", "\u00ad", "\u200b"])
+def test_blanks_and_format_characters_are_restored(blank):
+    sound, broken = f"é{blank}é", G.garble(f"é{blank}é", "utf-8>cp1252")
+    counts = np.full((G.N_LABELS, G.BUCKETS), G.SMOOTHING)
+    np.add.at(counts[0], G.bigrams(sound), 1000)
+    np.add.at(counts[len(G.SCRIPTS) * (G.CHAINS.index("utf-8>cp1252") + 1)], G.bigrams(broken), 1000)
+    assert G.Restorer(np.log(counts / counts.sum(axis=1, keepdims=True))).judge(broken) == ("utf-8>cp1252", sound)
+
+
 def test_backticks_lost_characters_and_nothing(spark):
     weights = G.train(spark.createDataFrame(corpus(1)[0], DOCS))
     rows = [(1, "Sample cell: `GrÃ¶ÃŸe`. The reader prints “Größe”.", ""), (2, "Die Pr�fung und die L�nge der Datei", ""), (3, None, ""), (4, "", ""), (5, "plain", ""), (6, "x GrÃ¶ÃŸe `GrÃ¶ÃŸe` " + "a " * 50_000, ""), (7, "```\nGrÃ¶ÃŸe\n```", "")]
