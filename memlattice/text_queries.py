@@ -170,8 +170,9 @@ with m as (select distinct project_id, doc_id, unnest(regexp_extract_all(text, '
 n as (select project_id, node_id, deleted_at from (select *, row_number() over (partition by project_id, node_id order by ingested_at desc) as rn from tree_nodes) where rn = 1)
 select m.project_id, case when n.node_id is null then 'unknown' when deleted_at is not null then 'deleted' else 'known' end as state, count(*) as n_mentions from m left join n using (project_id, node_id) group by all""")
 def node_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions of tree nodes in the documents of a project, by whether the project has such a node."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:project|domain|subsystem|module|component|function)\.[a-z]+\.[a-z]+-[0-9a-z]{3})"), F.lit(1)))
+    """Mentions of tree nodes in the documents of a project, by whether the project has such a node; an id ends where its
+    letters and digits do, however many follow the dash."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:project|domain|subsystem|module|component|function)\.[a-z]+\.[a-z]+-[0-9a-z]+)(?![0-9A-Za-z_])"), F.lit(1)))
     mentions = _documents(spark, d).select("project_id", F.explode(found).alias("node_id"))
     nodes = newest(read_table(spark, d, "tree_nodes"), {"project_id": clean_id("project_id"), "node_id": clean_id("node_id")}, "ingested_at", {"deleted_at": F.col("deleted_at")}).withColumn("known", F.lit(True))
     state = F.when(F.col("known").isNull(), "unknown").when(F.col("deleted_at").isNotNull(), "deleted").otherwise("known")

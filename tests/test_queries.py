@@ -53,6 +53,17 @@ def test_search_reads_prompts_beyond_80_characters(spark, tmp_path):
     assert got == [(50, 50, 8.0, 1), (50, 1, 4.0, 2), (50, 3, 2.0, 3), (50, 2, 0.5, 4)]
 
 
+def test_mentions_of_ids_of_any_length(spark, tmp_path):
+    at = datetime.datetime(2025, 1, 1)
+    ids = [f"function.a.b-{x}" for x in ("00", "00t", "00t1")]
+    text = f"{ids[0]} {ids[1]}. {ids[2]}, function.a.b-00t12 function.a.b-00tX"
+    spark.createDataFrame([(1, "p", text), (2, "p", f"({ids[2]})")], "doc_id bigint, project_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    nodes = [("p", ids[0], None, at), ("p", ids[1], at, at), ("p", ids[2], None, at)]
+    spark.createDataFrame(nodes, "project_id string, node_id string, deleted_at timestamp, ingested_at timestamp").write.parquet(str(tmp_path / "tree_nodes.parquet"))
+    got = {r.state: r.n_mentions for r in __spark_entry__.queries()["node_mentions"](spark, str(tmp_path)).collect()}
+    assert got == {"known": 3, "deleted": 1, "unknown": 1}
+
+
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(__spark_entry__.queries())
 
