@@ -44,6 +44,10 @@ def is_docs(path: Column) -> Column:
     return p.startswith("docs/") | extension(path).isin(*DOC_EXTENSIONS) | base_name(p).rlike(r"^readme(\.|$)")
 
 
+def is_generated_memory(path: Column) -> Column:
+    return F.lower(path).rlike(r"^\.abstraction-tree/((changes|context-packs|evaluations|lessons|runs)/|(concepts|files|invariants|ontology|tree)\.json$)")
+
+
 def areas(path: Column) -> Column:
     """All areas a path belongs to, sorted."""
     p, name = F.lower(path), base_name(F.lower(path))

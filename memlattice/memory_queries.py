@@ -78,7 +78,7 @@ r as (select change_id, count(*) as n, sum(docs) as docs, sum(package) as packag
 select change_id, unnest(list_filter([case when n > 25 then 'file-count' end, case when areas >= 4 then 'broad-areas' end, case when docs = n then 'docs-only-change' end, case when package > 0 then 'package-metadata-change' end,
   case when source > 0 and tests = 0 and docs = 0 then 'implementation-without-test' end], lambda s: s is not null)) as signal from r""")
 def overreach_signals(spark: SparkSession, d: str) -> DataFrame:
-    """What about a change's files may be too much at once: a row per signal."""
+    """What about a change's files may be too much at once, by five rules: a row per signal. ``all_overreach_signals`` has all."""
     c = F.col
     rules = {
         "file-count": c("n_files") > 25, "broad-areas": c("n_areas") >= 4, "docs-only-change": c("n_docs") == c("n_files"), "package-metadata-change": c("n_package") > 0,
@@ -88,6 +88,28 @@ def overreach_signals(spark: SparkSession, d: str) -> DataFrame:
     return change_rollup(spark, d).select("change_id", F.explode(raised).alias("signal"))
 
 
+@query(None)
+def all_overreach_signals(spark: SparkSession, d: str) -> DataFrame:
+    """As ``overreach_signals``, with every rule that the paths of a change can answer; files of the memory are neither source nor docs."""
+    c, path = F.col, F.col("path")
+    memory = F.lower(path).startswith(".abstraction-tree/")
+    areas = F.when(memory, F.array_except(P.areas(path), F.array(F.lit("source"), F.lit("docs")))).otherwise(P.areas(path))
+    areas = F.concat(areas, F.filter(F.array(F.when(memory, "memory"), F.when(P.is_generated_memory(path), "generated-memory"), F.when(F.lower(path).startswith(".abstraction-tree/automation/"), "automation")), lambda a: a.isNotNull()))
+    rows = _changed_files(spark, d).filter("path is not null").withColumn("areas", areas)
+    has = lambda a: F.array_contains("areas", a)
+    n = {a: F.count_if(has(a)).alias(f"n_{a}") for a in ("source", "tests", "docs", "package", "app", "automation")}
+    subsystem = F.when(has("source") & ~has("docs"), P.subsystem(path))
+    sums = rows.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_files"), *n.values(), F.count_if(has("generated-memory")).alias("n_generated"), F.size(F.array_distinct(F.flatten(F.collect_set("areas")))).alias("n_areas"), F.size(F.collect_set(subsystem)).alias("n_subsystems"))
+    alone = (c("n_source") > 0) & (c("n_tests") == 0) & (c("n_docs") == 0)
+    rules = {
+        "file-count": c("n_files") > 25, "broad-areas": c("n_areas") >= 4, "generated-only-change": c("n_generated") == c("n_files"), "docs-only-change": c("n_docs") == c("n_files"), "package-metadata-change": c("n_package") > 0,
+        "implementation-without-test": alone, "source-changed-memory-not-refreshed": alone & (c("n_generated") == 0), "cross-subsystem-change": c("n_subsystems") > 1,
+        "source-app-docs-automation": (c("n_source") > 0) & (c("n_app") > 0) & (c("n_docs") > 0) & (c("n_automation") > 0),
+    }
+    raised = F.filter(F.array(*(F.when(rule, kind) for kind, rule in rules.items())), lambda s: s.isNotNull())
+    return sums.select("change_id", F.explode(raised).alias("signal"))
+
+
 @query(f"""with {_FILES} select path, count(distinct change_id) as n_changes from files where regexp_matches(lower(path), 'secret|credential|token|\\.(key|pem|p12|pfx)$') group by path""")
 def dangerous_paths(spark: SparkSession, d: str) -> DataFrame:
     """Files with secret-like names that were changed, and how often."""

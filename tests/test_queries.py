@@ -64,6 +64,22 @@ def test_mentions_of_ids_of_any_length(spark, tmp_path):
     assert got == {"known": 3, "deleted": 1, "unknown": 1}
 
 
+def test_all_rules_of_overreach(spark, tmp_path):
+    files = {
+        "a": [".abstraction-tree/tree.json", ".abstraction-tree/runs/1.md"], "b": ["packages/core/src/a.ts"], "c": ["packages/core/src/a.ts", "packages/cli/src/b.ts", "src/a.test.ts"],
+        "d": ["packages/app/src/a.ts", "scripts/x.txt"], "e": ["packages/core/src/a.ts", ".abstraction-tree/concepts.json"], "f": [],
+    }
+    at = datetime.datetime(2025, 1, 1)
+    rows = [(k, "p", "2025-01-01", k, "low", [], v, at) for k, v in files.items()]
+    spark.createDataFrame(rows, "change_id string, project_id string, changed_at string, title string, risk string, affected_node_ids array<string>, files_changed array<string>, ingested_at timestamp").write.parquet(str(tmp_path / "change_records.parquet"))
+    got = {k: set() for k in files}
+    for r in __spark_entry__.queries()["all_overreach_signals"](spark, str(tmp_path)).collect():
+        got[r.change_id].add(r.signal)
+    assert got["a"] == {"generated-only-change"} and got["c"] == {"cross-subsystem-change"} and got["f"] == set()
+    assert got["b"] == {"implementation-without-test", "source-changed-memory-not-refreshed"} and got["e"] == {"implementation-without-test"}
+    assert got["d"] == {"broad-areas", "source-app-docs-automation"}
+
+
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(__spark_entry__.queries())
 
