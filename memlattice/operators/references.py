@@ -1,8 +1,9 @@
 """References to records that do not exist, were deleted, or came later.
 
-Method: references are pre-aggregated per target key and period; keys with many references (hot keys) are few, and their
-target rows are attached by a checked broadcast; all other references meet the targets in a shuffle join; both parts are
-united, row by row and as counts per table and month.
+Method: references are pre-aggregated per source, target key and month, with their least and greatest time; target rows of
+hot keys are attached to these groups by a broadcast of bounded size, all others by a shuffle join, and both parts are
+united. A group is faulty as a whole, sound as a whole, or mixed. Counts per table and month come from the groups; single
+references are only looked at again to give out the rows of faulty groups and to judge mixed ones.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_id, clean_ids, utc_time
-from ..plans.dictionary import look_up
+from ..plans.dictionary import hot_keys, look_up
 from ..plans.settle import settle
 from ..plans.versions import newest
 
-#: A target key with more references than this is hot: it is checked by broadcast instead of being shuffled to one task.
-HOT_REFERENCES = 20_000
+KEY = ["target", "project_id", "ref_id"]
+GROUP = ["src_table", "ref_field", *KEY, "month"]
 
 
 def references_of(table: DataFrame, src_table: str, key: str, version: str, at: Column, fields: dict[str, str]) -> DataFrame:
@@ -43,7 +44,38 @@ def targets_of(table: DataFrame, kind: str, keys: dict[str, Column], version: st
     return rows.select(F.lit(kind).alias("target"), "project_id", "ref_id", "created_at", "deleted_at").filter("ref_id is not null")
 
 
-def orphan_references(refs: DataFrame, targets: DataFrame, hot_references: int = HOT_REFERENCES) -> DataFrame:
+def _fault(at: Column) -> Column:
+    return F.when(F.col("__known").isNull(), "missing").when(F.col("created_at") > at, "late").when(F.col("deleted_at") <= at, "deleted").otherwise("none")
+
+
+def judged_groups(refs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(refs with month, settled; groups: the columns of GROUP, n and fault, settled, faulty ones only).
+
+    fault is ``missing``, ``late``, ``deleted``, or ``mixed`` with created_at and deleted_at of the target, where the
+    references of a group are not all judged alike. As faults follow one another in time, the least and the greatest time
+    of a group decide.
+    """
+    refs = settle(refs.withColumn("month", F.trunc("at", "month")))
+    groups = settle(refs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")))
+    hot = hot_keys(groups.groupBy(*KEY).agg(F.sum("n").alias("n")), KEY)
+    met = look_up(groups, targets.withColumn("__known", F.lit(True)), KEY, hot, "left")
+    fault = F.when(_fault(F.col("first")) == _fault(F.col("last")), _fault(F.col("first"))).otherwise("mixed")
+    return refs, settle(met.withColumn("fault", fault).filter("fault <> 'none'").drop("first", "last"))
+
+
+def _rows_of(refs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The references of ``groups`` that are faulty, each with its fault."""
+    nullsafe = F.coalesce("month", F.to_date(F.lit("0001-01-01"))).alias("month")
+    empty = F.coalesce("project_id", F.lit("\0")).alias("project_id")
+    keyed = lambda df: df.select(*(c for c in df.columns if c not in ("month", "project_id")), nullsafe, empty)
+    groups = keyed(groups)
+    met = look_up(keyed(refs), groups.drop("n"), GROUP, hot_keys(groups.select(*GROUP, "n"), GROUP))
+    fault = F.when(F.col("fault") == "mixed", _fault(F.col("at"))).otherwise(F.col("fault"))
+    out = met.withColumn("fault", fault).filter("fault <> 'none'").withColumn("project_id", F.nullif("project_id", F.lit("\0")))
+    return out.select("src_table", "src_id", "project_id", "at", "ref_field", "target", "ref_id", "fault")
+
+
+def orphan_references(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """The faulty references: the columns of ``refs`` and ``fault``.
 
     ``missing``: no target of that id in the same project. ``late``: the target was created after ``at``. ``deleted``: it
@@ -51,20 +83,22 @@ def orphan_references(refs: DataFrame, targets: DataFrame, hot_references: int =
     ``late``. A null ``at`` is only ever ``missing``; null times of the target make no fault; a null project matches
     nothing, so its references are missing. Empty tables give no rows, or only missing ones.
     """
-    refs, targets = settle(refs), settle(targets)
-    keys = ["target", "project_id", "ref_id"]
-    per_period = refs.groupBy(*keys, F.trunc("at", "month").alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    hot = per_period.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") > hot_references).drop("n")
-    known = targets.withColumn("__known", F.lit(True))
-    met = look_up(refs, known, keys, hot.join(known, keys, "left"), "left")
-    fault = F.when(F.col("__known").isNull(), "missing").when(F.col("created_at") > F.col("at"), "late").when(F.col("deleted_at") <= F.col("at"), "deleted")
-    return met.withColumn("fault", fault).filter("fault is not null").select(*refs.columns, "fault")
-
-
-def orphan_counts(orphans: DataFrame) -> DataFrame:
-    """Faulty references per table, field, fault and month of the referring record (null month: its time can't be read)."""
-    month = F.date_format("at", "yyyy-MM").alias("month")
-    return orphans.groupBy("src_table", "ref_field", month, "fault").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("project_id", "ref_id").alias("n_targets"))
+    refs, groups = judged_groups(refs, targets)
+    return _rows_of(refs, groups)
+
+
+def orphan_counts(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Faulty references per table, field, fault and month of the referring record (null month: its time can't be read): added
+    up from the groups; only mixed groups are counted reference by reference."""
+    refs, groups = judged_groups(refs, targets)
+    counts = groups.filter("fault <> 'mixed'").select(*GROUP, "fault", "n")
+    mixed = groups.filter("fault = 'mixed'")
+    rows = _rows_of(refs, mixed).withColumn("month", F.trunc("at", "month"))
+    both = counts.unionByName(rows.groupBy(*GROUP, "fault").agg(F.count(F.lit(1)).alias("n")))
+    # A target counts once per table, field, month and fault; a month's groups have one row per target.
+    month = F.date_format("month", "yyyy-MM").alias("month")
+    named = F.col("project_id").isNotNull() & F.col("ref_id").isNotNull()
+    return both.groupBy("src_table", "ref_field", month, "fault").agg(F.sum("n").alias("n_refs"), F.count_if(named).alias("n_targets"))
 
 
 def repository_references(change_records: DataFrame, missions: DataFrame, scope_contracts: DataFrame) -> DataFrame:

@@ -12,36 +12,49 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-#: Folders of sessions that name none, as in tests, and the tables settled so far.
+#: Folders of local sessions that name none, as in tests, and the tables settled so far.
 _OWN_FOLDERS: dict[str, str] = {}
 _SETTLED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session, whose executors are threads of one
+    machine, gets a folder of its own where that is unset, as in tests; a cluster without it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = context.applicationId
         folder = _OWN_FOLDERS[app] = _OWN_FOLDERS.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-settled-")
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage cut that does not depend on any executor.
 
-    The table stays until ``discard`` or ``discard_all``, as results that are not computed yet read from it.
+    The table stays until ``discard`` or ``discard_all``, as results that are not computed yet read from it; what nobody
+    discarded is deleted by the file system when the driver's JVM ends.
     """
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     _SETTLED.append(path)
+    target, files = _file_system(df.sparkSession, path)
+    files.deleteOnExit(target)
     return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+    files.cancelDeleteOnExit(target)
 
 
 def discard(df: DataFrame | None) -> None:

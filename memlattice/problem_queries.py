@@ -9,32 +9,37 @@ from .operators import flattening, hierarchy, references
 from .sources.tables import read_table
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = {n: read_table(spark, d, n) for n in ("change_records", "missions", "scope_contracts", "tree_nodes")}
     refs = references.repository_references(t["change_records"], t["missions"], t["scope_contracts"])
-    return references.orphan_references(refs, references.repository_targets(t["tree_nodes"], t["missions"]))
+    return refs, references.repository_targets(t["tree_nodes"], t["missions"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("src_table", "src_id", "ref_field", "ref_id", "fault")
+    return references.orphan_references(*_references(spark, d)).select("src_table", "src_id", "ref_field", "ref_id", "fault")
 
 
 def p3_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_counts(_orphans(spark, d))
+    return references.orphan_counts(*_references(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.endless_nodes(*hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
+    return hierarchy.endless_nodes(hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root and number of descendants of every node; the path as text, its ids joined by ' > '."""
-    out = hierarchy.node_table(*hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
+    out = hierarchy.node_table(hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
     return out.select("project_id", "node_id", "root_id", "depth", F.array_join("path", " > ").alias("path"), "n_descendants", "cycle_id")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(*hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
+    return hierarchy.descendants(hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
+
+
+def p4_preorder(spark: SparkSession, d: str) -> DataFrame:
+    """Place of every node in the tour of its root, and how many of the next places are its descendants."""
+    return hierarchy.preorder(hierarchy.hierarchy(read_table(spark, d, "tree_edges")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +62,7 @@ def p5_affected_nodes(spark: SparkSession, d: str) -> DataFrame:
     return flattening.goal_tables(read_table(spark, d, "goal_affected_trees"))["affected_nodes"]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_orphan_counts, p4_found, p4_nodes, p4_descendants, p5_found, p5_issues, p5_evidence, p5_tree, p5_affected_nodes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_orphan_counts, p4_found, p4_nodes, p4_descendants, p4_preorder, p5_found, p5_issues, p5_evidence, p5_tree, p5_affected_nodes)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ID = f"nullif(trim({{}}, {_BLANKS}), '')"
@@ -111,6 +116,9 @@ under as (select project_id, above as node_id, count(*) as n from (select projec
 select w.project_id, w.node_id, root_id, depth, array_to_string(path, ' > ') as path, coalesce(n, 0) as n_descendants, null::varchar as cycle_id from walk w left join under using (project_id, node_id)
 union all select project_id, node_id, null, null, null, null, cycle_id from endless""",
     "p4_descendants": _LINKS + "select project_id, path[i] as node_id, node_id as descendant_id, depth + 1 - i as steps from (select *, unnest(range(1, depth + 1)) as i from walk)",
+    "p4_preorder": _LINKS + """,
+under as (select project_id, above as node_id, count(*) as n from (select project_id, unnest(path[:-2]) as above from walk) group by all)
+select w.project_id, w.node_id, root_id, cast(depth as bigint) as depth, row_number() over (partition by w.project_id, root_id order by path) - 1 as position, coalesce(n, 0) as n_descendants from walk w left join under using (project_id, node_id)""",
     "p5_affected_nodes": f"""with g as ({_newest('goal_affected_trees', _ID.format('goal_id'), 'ingested_at')}),
 e as (select {_ID.format('goal_id')} as goal_id, {_ID.format('project_id')} as project_id, unnest(range(len(affected_nodes))) as i, affected_nodes from g)
 select goal_id, project_id, cast(i as varchar) as pos, affected_nodes[i + 1].node_id as item, affected_nodes[i + 1].reason as reason, affected_nodes[i + 1].confidence as confidence from e where affected_nodes[i + 1] is not null""",

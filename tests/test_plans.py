@@ -26,8 +26,10 @@ def test_look_up_with_and_without_hot_keys(spark):
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 30, 2)], "k string, v int")
     for how in ("inner", "left"):
         want = sorted(map(tuple, facts.join(table, ["k"], how).select("k", "n", "v").collect()), key=str)
-        for heavy in (table.filter("k = 'hot'"), table.limit(0)):
-            got = dictionary.look_up(facts, table, ["k"], heavy, how).select("k", "n", "v")
+        hot = dictionary.hot_keys(settle.settle(facts.groupBy("k").count()), ["k"], "count")
+        assert [r.k for r in hot.collect()] == ["hot"]
+        for keys in (hot, None, spark.createDataFrame([("k2",), ("k38",), ("hot",)], "k string")):
+            got = dictionary.look_up(facts, table, ["k"], keys, how).select("k", "n", "v")
             assert sorted(map(tuple, got.collect()), key=str) == want
 
 
@@ -39,3 +41,23 @@ def test_settled_tables_can_be_discarded(spark):
     other = settle.settle(spark.range(2).toDF("x"))
     settle.discard_all(spark)
     assert settle._SETTLED == [] and not __import__("os").path.exists(other._settled_at.removeprefix("file://"))
+
+
+def test_hot_keys_are_bounded(spark):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions")) * dictionary.HOT_PER_PARTITION
+    counts = settle.settle(spark.range(1000).selectExpr("id as k", "if(id < 10, 100000, 3) as n"))
+    assert sorted(r.k for r in dictionary.hot_keys(counts, ["k"]).collect()) == list(range(10)) and most > 10
+    assert dictionary.hot_keys(settle.settle(spark.range(1000).selectExpr("id as k", "5 as n")), ["k"]) is None
+    assert dictionary.hot_keys(settle.settle(counts.limit(0)), ["k"]) is None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, applicationId="test"))
+    assert settle.shared_folder(session("local[4]", None)).startswith("file:///")
+    assert settle.shared_folder(session("spark://somewhere:7077", "hdfs://there/")) == "hdfs://there"
+    with pytest.raises(ValueError):
+        settle.shared_folder(session("spark://somewhere:7077", None))

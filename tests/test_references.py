@@ -11,11 +11,11 @@ NODES = "project_id string, node_id string, created_at timestamp_ntz, deleted_at
 D = [T(2025, m, 1) for m in range(1, 13)]
 
 
-def found(spark, changes=(), missions=(), contracts=(), nodes=(), hot=20_000):
+def found(spark, changes=(), missions=(), contracts=(), nodes=()):
     frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
     m = frame(missions, MISSIONS)
     refs = R.repository_references(frame(changes, CHANGES), m, frame(contracts, CONTRACTS))
-    orphans = R.orphan_references(refs, R.repository_targets(frame(nodes, NODES), m), hot)
+    orphans = R.orphan_references(refs, R.repository_targets(frame(nodes, NODES), m))
     return sorted(tuple(r) for r in orphans.select("src_table", "src_id", "ref_field", "ref_id", "fault").collect())
 
 
@@ -50,15 +50,20 @@ def test_empty_tables(spark):
     assert found(spark, [("c", "p", "2025-01-01", ["x"], D[0], None)]) == [("change_records", "c", "affected_node_ids", "x", "missing")]
 
 
-def test_hot_keys_give_the_same_as_cold_ones(spark):
+def test_hot_keys_give_the_same_as_cold_ones(spark, monkeypatch):
     nodes = [("p", "hot", D[3], None, D[0])]
     changes = [(f"c{i}", "p", f"2025-0{1 + i % 6}-01", ["hot", "none"] if i % 2 else ["hot", f"x{i}"], D[0], None) for i in range(60)]
-    assert found(spark, changes, nodes=nodes, hot=5) == found(spark, changes, nodes=nodes)
+    hot = found(spark, changes, nodes=nodes)
+    monkeypatch.setattr(R, "hot_keys", lambda *_: None)
+    assert found(spark, changes, nodes=nodes) == hot and len(hot) == 30 + 30 + 30  # missing: none and x; late: hot in the first three months
 
 
 def test_counts_per_month(spark):
-    changes = spark.createDataFrame([("c1", "p", "2025-02-01", ["x"], D[0], None), ("c2", "p", "2025-02-09", ["x"], D[0], None), ("c3", "p", "?", ["y"], D[0], None)], CHANGES)
-    refs = R.references_of(changes, "change_records", "change_id", "ingested_at", R.utc_time("changed_at"), {"affected_node_ids": "node"})
-    orphans = R.orphan_references(refs, R.targets_of(spark.createDataFrame([], NODES), "node", {"project_id": F.col("project_id"), "ref_id": F.col("node_id")}, "ingested_at"))
-    got = {(r["month"], r["fault"], r.n_refs, r.n_targets) for r in R.orphan_counts(orphans).collect()}
-    assert got == {("2025-02", "missing", 2, 1), (None, "missing", 1, 1)}
+    nodes = spark.createDataFrame([("p", "m", T(2025, 2, 5), T(2025, 2, 7), D[0])], NODES)
+    at = ["2025-02-01", "2025-02-04", "2025-02-06", "2025-02-08", "2025-03-01"]  # late, late, sound, deleted, deleted
+    rows = [("c1", "p", "2025-02-01", ["x"], D[0], None), ("c2", "p", "2025-02-09", ["x"], D[0], None), ("c3", "p", "?", ["y"], D[0], None)] + [(f"m{i}", "p", a, ["m"], D[0], None) for i, a in enumerate(at)]
+    refs = R.references_of(spark.createDataFrame(rows, CHANGES), "change_records", "change_id", "ingested_at", R.utc_time("changed_at"), {"affected_node_ids": "node"})
+    targets = R.targets_of(nodes, "node", {"project_id": F.col("project_id"), "ref_id": F.col("node_id")}, "ingested_at")
+    got = {(r["month"], r["fault"], r.n_refs, r.n_targets) for r in R.orphan_counts(refs, targets).collect()}
+    assert got == {("2025-02", "missing", 2, 1), (None, "missing", 1, 1), ("2025-02", "late", 2, 1), ("2025-02", "deleted", 1, 1), ("2025-03", "deleted", 1, 1)}
+    assert sorted((r.src_id, r.fault) for r in R.orphan_references(refs, targets).collect() if r.src_id[0] == "m") == [("m0", "late"), ("m1", "late"), ("m3", "deleted"), ("m4", "deleted")]
