@@ -13,6 +13,7 @@ from .functions.cleaning import clean_id, clean_ids, clean_path, clean_paths
 from .memory_queries import _BLANKS, _FILES, _LIVE, _MS, _PATH, _SD, _TIME, _candidates, _changed_files, _changes, _live, _missions, _valid
 from .operators import checks, flattening, ordering, ranking
 from .plans.versions import newest
+from .problem_queries import REPORTS_SQL
 from .registry import Registry
 from .sources.tables import read_table
 
@@ -145,13 +146,15 @@ def time_forms(spark: SparkSession, d: str) -> DataFrame:
     return told.groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n_changes"))
 
 
-@query(None)
+@query(f"""{REPORTS_SQL} select project_id, case when not readable then 'unreadable' when report is null then 'no report' when coalesce(json_type(report->'tree'), '') <> 'OBJECT' then 'no tree'
+  when coalesce(json_type(report->'issues'), 'NULL') = 'NULL' then 'no issues' else 'whole' end as state, count(*) as n_reports from reports group by all""")
 def payload_states(spark: SparkSession, d: str) -> DataFrame:
-    """Reports per project by what their payload is: unreadable, without a tree, without issues, or whole."""
-    report = flattening.reports(read_table(spark, d, "raw_reports"))
+    """Reports per project by what their payload is: unreadable, without a report, without a tree, without issues, or whole."""
     part = lambda name: F.try_variant_get("report", f"$.{name}", "variant")
-    state = F.when(F.col("report").isNull(), "unreadable").when(part("tree").isNull(), "no tree").when(part("issues").isNull(), "no issues").otherwise("whole")
-    return report.groupBy("project_id", state.alias("state")).agg(F.count(F.lit(1)).alias("n_reports"))
+    state = F.when(F.col("report").isNull(), "no report").when(F.try_variant_get(part("tree"), "$", "map<string,variant>").isNull(), "no tree").when(part("issues").isNull() | F.is_variant_null(part("issues")), "no issues").otherwise("whole")
+    reports = flattening.from_reports(read_table(spark, d, "raw_reports"), state.alias("held"))
+    state = F.when(F.col("readable"), F.col("held")).otherwise("unreadable")
+    return reports.groupBy("project_id", state.alias("state")).agg(F.count(F.lit(1)).alias("n_reports"))
 
 
 @query(f"""with n as (select project_id, abstraction_level, count(*) as n from {_LIVE} where abstraction_level is not null group by all)

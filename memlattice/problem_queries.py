@@ -107,7 +107,41 @@ climb as (select project_id, child as node_id, parent as up, [child] as seen fro
 endless as (select project_id, node_id, list_min(seen[list_position(seen, up):]) as cycle_id from climb where list_contains(seen, up))
 """
 
+#: The report of every valid payload: the shallowest object with a tree or issues, opened layer by layer.
+REPORTS_SQL = f"""
+with recursive valid as (select {_ID.format('report_id')} as report_id, {_ID.format('project_id')} as project_id, trim(payload, {_BLANKS} || chr(65279)) as payload from
+  ({_newest('raw_reports', _ID.format('report_id'), 'received_at')}) where {_ID.format('report_id')} is not null),
+layers as (select report_id, 0 as depth, '' as way, payload::json as j from valid where json_valid(payload)
+  union all select report_id, depth + 1, way || '/' || coalesce(json_keys(j)[i], lpad(cast(i as varchar), 9, '0')), case json_type(j) when 'OBJECT' then json_extract(j, '$.*')[i] when 'ARRAY' then json_extract(j, '$[*]')[i] else trim(j->>'$', {_BLANKS} || chr(65279))::json end
+  from (select *, unnest(range(1, 1 + cast(case json_type(j) when 'OBJECT' then len(json_keys(j)) when 'ARRAY' then json_array_length(j) when 'VARCHAR' then case when json_valid(trim(j->>'$', {_BLANKS} || chr(65279))) then 1 else 0 end else 0 end as bigint))) as i
+    from layers where not (coalesce(json_type(j->'tree'), '') = 'OBJECT' or coalesce(json_array_length(j->'issues'), 0) > 0 or coalesce(json_type(j->'issues'), '') = 'OBJECT'))),
+found as (select report_id, arg_min(j, (depth, way)) as report from layers where json_type(j) = 'OBJECT' and (coalesce(json_type(j->'tree'), '') = 'OBJECT' or coalesce(json_array_length(j->'issues'), 0) > 0 or coalesce(json_type(j->'issues'), '') = 'OBJECT') group by report_id),
+reports as (select report_id, project_id, coalesce(json_valid(payload), false) as readable, report from valid left join found using (report_id)),
+"""
+
+
+def _listed_sql(name: str, source: str, field: str, keys: str) -> str:
+    """keys, place and item of the objects in the list ``field`` of the JSON column ``j`` of ``source``."""
+    return f"""{name} as (select {keys}, place, item from (select {keys}, case when json_type(l) = 'ARRAY' then cast(i - 1 as varchar) when digits then json_keys(l)[i] else '0' end as place,
+    case when json_type(l) = 'ARRAY' then json_extract(l, '$[*]')[i] when digits then json_extract(l, '$.*')[i] else l end as item
+    from (select *, unnest(range(1, 1 + cast(case when json_type(l) = 'ARRAY' then json_array_length(l) when digits then len(json_keys(l)) else 1 end as bigint))) as i
+      from (select *, len(list_filter(json_keys(l), lambda k: not regexp_full_match(k, '[0-9]+'))) = 0 as digits from (select *, json_extract(j, '$.{field}') as l from {source}) where json_type(l) in ('ARRAY', 'OBJECT')))) where json_type(item) = 'OBJECT')"""
+
+
+REPORTS_SQL += _listed_sql("issue", "(select report_id, project_id, report as j from reports where report is not null)", "issues", "report_id, project_id") + ",\n"
+REPORTS_SQL += _listed_sql("proof", "(select report_id, project_id, place as issue_pos, item as j from issue)", "evidence", "report_id, project_id, issue_pos")
+_TREE_FIELDS = ("node_count", "orphan_node_count", "nodes_without_summaries", "nodes_without_explanations", "thin_explanation_count", "files_without_owners", "average_explanation_length")
+_CAMEL = {f: f.split("_")[0] + "".join(w.title() for w in f.split("_")[1:]) for f in _TREE_FIELDS}
+
 ORACLE_SQL = {
+    "p5_tree": REPORTS_SQL + f"select report_id, project_id, '0' as pos, {', '.join(f"try_cast(coalesce(report->'tree'->>'{c}', report->'tree'->>'{f}') as {'double' if f.startswith('average') else 'varchar'}) as {f}" for f, c in _CAMEL.items())} from reports where json_type(report->'tree') = 'OBJECT'",
+    "p5_issues": REPORTS_SQL + "select report_id, project_id, place as pos, item->>'severity' as severity, item->>'message' as message, item->>'area' as area, coalesce(item->>'filePath', item->>'file_path') as file_path from issue",
+    "p5_evidence": REPORTS_SQL + "select report_id, project_id, issue_pos || '.' || place as pos, issue_pos, item->>'ref' as ref, item->>'note' as note, try_cast(item->'at'->>'line' as bigint) as line from proof",
+    "p5_found": REPORTS_SQL + f""", goals as (select {_ID.format('goal_id')} as id, affected_nodes as nodes, affected_files as files from ({_newest('goal_affected_trees', _ID.format('goal_id'), 'ingested_at')}) where {_ID.format('goal_id')} is not null)
+select report_id as record_id, 'tree' as child, '0' as pos, coalesce(report->'tree'->>'nodeCount', report->'tree'->>'node_count', '') as item from reports where json_type(report->'tree') = 'OBJECT'
+union all select report_id, 'issues', place, coalesce(item->>'area', '') from issue union all select report_id, 'evidence', issue_pos || '.' || place, coalesce(item->>'ref', '') from proof
+union all select id, 'affected_nodes', cast(i - 1 as varchar), coalesce(nodes[i].node_id, '') from (select *, unnest(range(1, 1 + len(nodes))) as i from goals) where nodes[i] is not null
+union all select id, 'affected_files', cast(i - 1 as varchar), coalesce(files[i].file_path, '') from (select *, unnest(range(1, 1 + len(files))) as i from goals) where files[i] is not null""",
     "p3_found": _REFS + "select src_table, src_id, ref_field, ref_id, fault from met where fault is not null",
     "p3_orphan_counts": _REFS + "select src_table, ref_field, strftime(t, '%Y-%m') as month, fault, count(*) as n_refs, count(distinct (project_id, ref_id)) as n_targets from met where fault is not null group by all",
     "p4_found": _LINKS + _CYCLES + "select project_id, node_id, cycle_id from endless",

@@ -23,6 +23,32 @@ def test_wrappings_are_one(spark):
     assert flat(spark, wrapped)[0] == [ROWS] * len(wrapped)
 
 
+def nested(value, times, wrap):
+    for _ in range(times):
+        value = wrap(value)
+    return value
+
+
+def test_any_wrapping_in_any_depth(spark):
+    text = json.dumps(INNER)
+    wrapped = [
+        json.dumps({"content": INNER}), json.dumps({"message": INNER}), json.dumps([{"x": 1}, INNER]), json.dumps({"timestamp": "t", "data": INNER}), json.dumps([[], [None, 3, [INNER]]]),
+        nested(text, 8, json.dumps), json.dumps(nested(INNER, 7, lambda v: {"report": v})), json.dumps(nested(INNER, 40, lambda v: [{"a": 1, "w": v}])), json.dumps(nested(INNER, 300, lambda v: {"w": v})),
+        json.dumps({"quality": {"routes": 2}, "issues": None, "tree": None, "held": {"context": text}}), json.dumps({"a": {"deep": {"issues": [{"area": "deeper"}]}}, "z": INNER}),
+    ]
+    assert flat(spark, wrapped)[0] == [ROWS] * len(wrapped)
+
+
+def test_of_doubled_names_the_last_value_holds(spark):
+    payloads = ['{"tree": {"nodeCount": 1, "nodeCount": 2}, "issues": [{"area": "a", "area": "b"}]}', '{"x": 1, "x": {"tree": {"node_count": 3}}}']
+    assert flat(spark, payloads)[0] == [{("tree", "0", "2"), ("issues", "0", "b")}, {("tree", "0", "3")}]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_places_of_many_digits(spark):
+    assert flat(spark, [json.dumps({"issues": {"12345678901": {"area": "far"}, "007": {"area": "agent"}}})])[0] == [{("issues", "12345678901", "far"), ("issues", "7", "agent")}]
+
+
 @pytest.mark.parametrize("bad", [None, "", "  ", "null", "[]", "{}", '{"tree": {"nodeCount": 1}', '{"tree": {}} {"tree": {}}', '{"tree": {}} x', "[{}] ]", '{"tree": {}},{"tree": {}}', "report not written", '{"tree": null, "issues": null}', '"x'])
 def test_payloads_without_rows(spark, bad):
     assert flat(spark, [bad])[0] == [set()]
