@@ -27,6 +27,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KEPT = 200_000
 #: Longer pre-tokens are encoded but not kept.
 KEPT_LENGTH = 40
+#: Characters of text whose pre-tokens a worker holds at a time; a longer text is held alone.
+PIECE = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -81,24 +83,39 @@ class Codec:
         self.by_letter = {c: b for b, c in enumerate(self.letters)}
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the texts; null and empty texts have no ids. Every text is encoded whole."""
+        """(offsets, ids) of the texts; null and empty texts have no ids. Every text is encoded whole; pre-tokens are held for
+        PIECE characters of text, or one longer text, at a time."""
+        counts, parts = [], []
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to] or "") <= PIECE):
+                size += len(texts[to] or "")
+                to += 1
+            for ids in self._encode_piece(texts[at:to]):
+                counts.append(len(ids))
+                parts.append(ids)
+            at = to
+        return np.concatenate([[0], np.cumsum(counts)]).astype("int64"), np.concatenate(parts) if parts else np.zeros(0, "int32")
+
+    def _encode_piece(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         cut = [self.split(t) if t else [] for t in texts]
         if len(self.known) > KEPT:
             for old in list(self.known)[: KEPT // 2]:
                 del self.known[old]
-        new = list({p for pre in cut for p in pre} - self.known.keys())
+        known = self.known
+        new = [p for p in {p for pre in cut for p in pre} if p not in known]
         table = self.letters
         mapped = [p if p.isascii() and p.isalnum() else "".join([table[b] for b in p.encode("utf-8", "surrogatepass")]) for p in new]
-        fresh = dict(zip(new, self.processor.encode(mapped, num_threads=1)))
-        known = self.known | fresh if fresh else self.known
-        counts, flat = [], []
+        known.update(zip(new, self.processor.encode(mapped, num_threads=1)))
         for pre in cut:
-            before = len(flat)
+            flat: list[int] = []
             for p in pre:
                 flat += known[p]
-            counts.append(len(flat) - before)
-        self.known.update((p, i) for p, i in fresh.items() if len(p) <= KEPT_LENGTH)
-        return np.concatenate([[0], np.cumsum(counts)]).astype("int64"), np.asarray(flat, "int32")
+            yield np.asarray(flat, "int32")
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                del known[p]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids. Bytes that are no UTF-8, as part of a character may be cut off, become U+FFFD."""

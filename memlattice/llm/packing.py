@@ -2,38 +2,43 @@
 
 Method: the items of each budget form one shard, or several if there are many. Every shard is packed by best-fit
 decreasing. Dual feasible functions give lower bounds on the number of packs; their sums add up over shards, so they
-certify a budget however many shards it has. Shards of a budget whose packs exceed the bound hand the items of their
-loosest packs on to each other and are packed again, as long as that saves packs.
+certify a budget however many shards it has. Shards of a budget whose packs exceed the bound deal their packs out anew, the
+loosest ones of all shards together, and pack them again, until the bound is met or several rounds with different seeds
+save nothing.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_id
-from ..plans.settle import broadcast_if_small, settle
+from ..plans.settle import broadcast_if_small, discard, settle
 from ..plans.versions import newest
 
 #: Items per shard; a shard is what one task holds at a time.
 SHARD_ITEMS = 20_000
-#: Tries to let the packs of one shard exchange items where the bound leaves a gap.
+#: Tries in a row that let the packs of one shard exchange items in vain, before the shard is left as it is.
 TRIES = 200
-#: Rounds of exchange between shards at most.
-ROUNDS = 4
+#: Rounds of exchange between shards in a row that save no pack, before the packing is left as it is.
+PATIENCE = 4
+#: Levels of room by which the loosest packs of a budget are told.
+LEVELS = 64
 #: The thresholds (in 64ths of the capacity) of the first family of bounds and the k of the second.
 CUTS = tuple(range(0, 33))
 KS = tuple(range(1, 21))
 
-#: A pack's number holds the round it was made in, its shard and its place there.
-PACK_BITS, SHARD_BITS = 36, 22
+#: A pack's number holds its shard and its place there; packs keep their numbers when they are packed again.
+PACK_BITS = 36
 
 IN = ("budget_id", "shard", "kind", "candidate_id", "estimated_tokens", "size", "capacity", "status", "packs")
+MOVED = (*IN, "pack", "room")
 OUT = "budget_id string, shard bigint, kind string, candidate_id string, estimated_tokens bigint, size bigint, capacity bigint, status string, packs bigint, pack bigint, room bigint, sums array<bigint>"
 
 
@@ -83,8 +88,8 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
     return packs, rooms
 
 
-def tighten(sizes: list[int], packs: list[int], rooms: list[int], capacity: int, least: int, tries: int = TRIES) -> tuple[list[int], list[int]]:
-    """Let packs of a shard exchange items until ``least`` packs are reached or the tries are used up.
+def tighten(sizes: list[int], packs: list[int], rooms: list[int], capacity: int, least: int, tries: int = TRIES, seed: int = 0) -> tuple[list[int], list[int]]:
+    """Let packs of a shard exchange items until ``least`` packs are reached or ``tries`` tries in a row changed nothing.
 
     Each try pools the items of the loosest pack and of some other packs and packs them again, best fit in a slightly
     disturbed falling order; it counts if it needs fewer packs or leaves their room more uneven.
@@ -93,10 +98,10 @@ def tighten(sizes: list[int], packs: list[int], rooms: list[int], capacity: int,
     for i, p in enumerate(packs):
         members.setdefault(p, []).append(i)
     fills = {p: sum(sizes[i] for i in m) for p, m in members.items()}
-    random = np.random.default_rng(len(sizes))
-    for _ in range(tries):
-        if len(members) <= least:
-            break
+    random = np.random.default_rng([len(sizes), seed])
+    vain = 0
+    while vain < tries and len(members) > least:
+        vain += 1
         loosest = min(fills, key=fills.__getitem__)
         names = list(members)
         pool = list({loosest, *(names[i] for i in random.integers(0, len(names), 7))})
@@ -105,6 +110,7 @@ def tighten(sizes: list[int], packs: list[int], rooms: list[int], capacity: int,
         items = [i for _, i in sorted(((sizes[i] * z, i) for i, z in zip(items, noise)), reverse=True)]
         again, left = best_fit_decreasing([sizes[i] for i in items], capacity)
         if len(left) < len(pool) or len(left) == len(pool) and sum((capacity - r) ** 2 for r in left) > sum(fills[p] ** 2 for p in pool):
+            vain = 0
             for p in pool:
                 del members[p], fills[p]
             for p, i in zip(again, items):
@@ -118,7 +124,7 @@ def tighten(sizes: list[int], packs: list[int], rooms: list[int], capacity: int,
     return out, [capacity - fills[p] for p in members]
 
 
-def _pack_shard(rows: pa.Table, generation: int) -> pa.RecordBatch:
+def _pack_shard(rows: pa.Table) -> pa.RecordBatch:
     """The rows of one shard, sorted by falling size, with the pack of each, and a last row that tells the packs and bounds."""
     columns = {c: rows.column(c).combine_chunks() for c in IN}
     capacity, shard, n = columns["capacity"][0].as_py(), columns["shard"][0].as_py(), rows.num_rows
@@ -140,39 +146,58 @@ def _pack_shard(rows: pa.Table, generation: int) -> pa.RecordBatch:
         room[ordinary] = np.asarray(rooms, "int64")[pack[ordinary]]
     pack[own] = made + np.cumsum(packs[own]) - packs[own]
     room[own] = 0
-    number = (generation << PACK_BITS + SHARD_BITS) + (shard << PACK_BITS)
+    number = shard << PACK_BITS
     columns |= {"pack": pa.array(pack + number, mask=pack < 0), "room": pa.array(room, mask=room < 0), "sums": pa.nulls(n, pa.list_(pa.int64()))}
     last = {"budget_id": columns["budget_id"][0].as_py(), "shard": shard, "capacity": capacity, "status": "bound", "packs": made, "room": least, "sums": sums}
     return pa.RecordBatch.from_arrays([pa.concat_arrays([columns[c], pa.array([last.get(c)], columns[c].type)]) for c in [*IN, "pack", "room", "sums"]], [*IN, "pack", "room", "sums"])
 
 
-def _packer(generation: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repack(rows: pa.Table, seed: int) -> pa.RecordBatch:
+    """The rows of one pool, sorted by falling size, packed anew; the packs keep numbers they had, and are never more than before."""
+    capacity, size = rows.column("capacity")[0].as_py(), rows.column("size").to_numpy()
+    numbers, packs = np.unique(rows.column("pack").to_numpy(), return_inverse=True)
+    rooms = [capacity - int(f) for f in np.bincount(packs, weights=size)]
+    least = bound(bound_sums(size, capacity), capacity)
+    packs = packs.tolist()
+    if len(rooms) > least:
+        fresh, left = best_fit_decreasing(size.tolist(), capacity)
+        if (len(left), -sum(r * r for r in left)) < (len(rooms), -sum(r * r for r in rooms)):
+            packs, rooms = fresh, left
+        packs, rooms = tighten(size.tolist(), packs, rooms, capacity, least, seed=seed)
+    columns = {c: rows.column(c).combine_chunks() for c in MOVED}
+    columns |= {"pack": pa.array(numbers[packs]), "room": pa.array(np.asarray(rooms, "int64")[packs])}
+    return pa.RecordBatch.from_arrays([columns[c] for c in MOVED], list(MOVED))
+
+
+def _by_shard(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on the rows of each (budget_id, shard) of a sorted partition; one shard is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
-            ids, shards = batch.column("budget_id").dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column("shard").to_numpy()
+            ids, shards = batch.column("budget_id").dictionary_encode().indices.fill_null(-1).to_numpy(), batch.column("shard").to_numpy()
             starts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (shards[1:] != shards[:-1])) + 1).tolist(), batch.num_rows]
             for a, b in zip(starts, starts[1:]):
                 now = (batch.column("budget_id")[a].as_py(), int(shards[a]))
                 if held and now != key:
-                    yield _pack_shard(pa.concat_tables(held), generation)
+                    yield work(pa.concat_tables(held))
                     held = []
                 key = now
                 held.append(rows.slice(a, b - a))
         if held:
-            yield _pack_shard(pa.concat_tables(held), generation)
+            yield work(pa.concat_tables(held))
 
-    return pack
+    return run
 
 
-def _pack_all(pieces: DataFrame, generation: int) -> DataFrame:
+def _pack_all(pieces: DataFrame) -> DataFrame:
     """Pack every shard of ``pieces``, which must be partitioned by budget and shard already or are then."""
     ordered = pieces.select(*IN).sortWithinPartitions("budget_id", "shard", F.desc("size"), "kind", "candidate_id")
-    return ordered.mapInArrow(_packer(generation), OUT)
+    return ordered.mapInArrow(_by_shard(_pack_shard), OUT)
 
 
 def _totals(packed: DataFrame) -> DataFrame:
@@ -188,47 +213,66 @@ def _totals(packed: DataFrame) -> DataFrame:
     return whole.select("budget_id", "capacity", "n_packs", least.cast("bigint").alias("lower_bound"))
 
 
-def _exchange(packed: DataFrame, shard_items: int, rounds: int) -> DataFrame:
-    """Let the shards of uncertified budgets with several shards exchange the items of their loosest packs and pack again.
+def _pools(loose: DataFrame, shard_items: int, together: bool) -> DataFrame:
+    """budget_id, level, from_pool, n_pools: where the packs of each level of room of a budget are dealt to.
 
-    In each round a shard gives up its packs with the most room, as many as keep the pool of a budget within
-    ``shard_items`` times the number of pools; the pools are dealt out anew and packed. The result of a round counts only
-    for budgets in which it saved packs; the others stop.
+    ``together``: the loosest levels, as many as hold about a shard's items, share pools of their own; else all levels share all.
+    A budget has at most LEVELS levels, so its window is small.
     """
-    for generation in range(1, rounds + 1):
-        several = packed.filter("status = 'bound'").groupBy("budget_id").agg(F.count(F.lit(1)).alias("shards")).filter("shards > 1")
-        gaps = _totals(packed).filter("n_packs > lower_bound and capacity is not null").join(several, "budget_id").select("budget_id", "shards", "n_packs")
-        gaps = settle(gaps)
-        if gaps.isEmpty():
-            break
-        rows = packed.filter("status = 'packed'").join(broadcast_if_small(gaps), "budget_id")
-        loose_share = F.greatest(F.lit(1), F.col("capacity") / 50)
-        loose = settle(rows.filter(F.col("room") >= loose_share))
-        pools = loose.groupBy("budget_id").agg(F.ceil(F.count(F.lit(1)) / shard_items).cast("bigint").alias("pools"), F.countDistinct("pack").alias("freed"))
-        dealt = loose.join(broadcast_if_small(settle(pools)), "budget_id").withColumn("shard", F.pmod(F.xxhash64("kind", "candidate_id", F.lit(generation)), F.col("pools")))
-        again = settle(_pack_all(dealt.repartition("budget_id", "shard"), generation))
-        saved = again.filter("status = 'bound'").groupBy("budget_id").agg(F.sum("packs").alias("made")).join(pools, "budget_id").filter("made < freed").select("budget_id", F.lit(True).alias("saved"))
-        saved = settle(saved)
-        if saved.isEmpty():
+    by_level = loose.groupBy("budget_id", "level").agg(F.sum("n_items").alias("n_items"))
+    looser = Window.partitionBy("budget_id").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    worst = F.lit(together) & (F.coalesce(F.sum("n_items").over(looser), F.lit(0)) < shard_items)
+    marked = by_level.withColumn("worst", worst)
+    share = Window.partitionBy("budget_id", "worst")
+    counted = marked.withColumn("n_pools", F.ceil(F.sum("n_items").over(share) / (2 * shard_items)).cast("bigint"))
+    before = F.max(F.when(F.col("worst"), F.col("n_pools"))).over(Window.partitionBy("budget_id"))
+    return counted.select("budget_id", "level", F.when(F.col("worst"), 0).otherwise(F.coalesce(before, F.lit(0))).cast("bigint").alias("from_pool"), "n_pools")
+
+
+def _exchange(packed: DataFrame, shard_items: int, patience: int) -> DataFrame:
+    """Let the shards of uncertified budgets with several shards exchange packs until the bound is met, or ``patience`` rounds in a
+    row saved nothing.
+
+    In a round all packs with room of these budgets are dealt out to pools of one or two shards' size, in turn with the
+    loosest ones together and all at random; each pool is packed again, never into more packs. Full packs stay where they are.
+    """
+    several = packed.filter("status = 'bound'").groupBy("budget_id").agg(F.count(F.lit(1)).alias("shards")).filter("shards > 1 and budget_id is not null")
+    gaps = settle(_totals(packed).filter("n_packs > lower_bound and capacity > 0").join(several, "budget_id").select("budget_id", "lower_bound", "n_packs"))
+    if gaps.isEmpty():
+        return packed
+    moving = F.col("gap") & (F.col("status") == "packed")
+    marked = packed.join(broadcast_if_small(gaps.select("budget_id", F.lit(True).alias("gap"))), "budget_id", "left").withColumn("moving", F.coalesce(moving, F.lit(False)))
+    rows = settle(marked.filter("moving").select(*MOVED))
+    counts, vain, seed = gaps, 0, 0
+    while vain < patience:
+        uncertified = settle(counts.filter("n_packs > lower_bound").select("budget_id"))
+        if uncertified.isEmpty():
             break
-        better = broadcast_if_small(saved)
-        gone = loose.select("budget_id", "pack").distinct().join(better, "budget_id").select("budget_id", "pack", F.lit(True).alias("gone"))
-        kept = packed.join(gone, ["budget_id", "pack"], "left").filter("gone is null").drop("gone")
-        stats = packed.filter("status = 'bound'").join(better, "budget_id", "left")
-        lost = loose.select("budget_id", "shard", "pack").distinct().join(better, "budget_id").groupBy("budget_id", "shard").agg(F.count(F.lit(1)).alias("lost"))
-        stats = stats.drop("saved").join(lost, ["budget_id", "shard"], "left").withColumn("packs", F.col("packs") - F.coalesce("lost", F.lit(0))).drop("lost")
-        fresh = again.join(better, "budget_id").drop("saved")
-        fresh = fresh.withColumn("shard", F.col("shard") + F.lit(generation) * F.lit(1 << 24)).withColumn("sums", F.transform("sums", lambda x: F.lit(0).cast("bigint")))
-        columns = packed.columns
-        packed = settle(kept.filter("status <> 'bound'").select(columns).unionByName(stats.select(columns)).unionByName(fresh.select(columns)))
-    return packed
+        packs = rows.join(broadcast_if_small(uncertified), "budget_id", "left_semi").filter("room > 0").groupBy("budget_id", "pack", "room", "capacity").agg(F.count(F.lit(1)).alias("n_items"))
+        loose = settle(packs.withColumn("level", F.floor(F.col("room") * (LEVELS - 1) / F.col("capacity"))))
+        pools = broadcast_if_small(settle(_pools(loose, shard_items, seed % 2 == 0)))
+        dealt = loose.join(pools, ["budget_id", "level"]).select("budget_id", "pack", (F.col("from_pool") + F.pmod(F.xxhash64("pack", F.lit(seed)), F.col("n_pools"))).alias("pool"))
+        met = rows.join(dealt, ["budget_id", "pack"], "left")
+        travel = met.filter("pool is not null").withColumn("shard", F.col("pool")).select(*MOVED).repartition("budget_id", "shard")
+        again = travel.sortWithinPartitions("budget_id", "shard", F.desc("size"), "kind", "candidate_id").mapInArrow(_by_shard(functools.partial(_repack, seed=seed)), packed.select(*MOVED).schema)
+        once = settle(again.unionByName(met.filter("pool is null").select(*MOVED)))
+        made = once.select("budget_id", "pack").distinct().groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_packs"))
+        made = settle(made.join(broadcast_if_small(gaps.select("budget_id", "lower_bound")), "budget_id"))
+        saved = counts.agg(F.sum("n_packs")).first()[0] - made.agg(F.sum("n_packs")).first()[0]
+        for old in (rows, uncertified, loose, *([counts] if counts is not gaps else [])):
+            discard(old)
+        rows, counts, vain, seed = once, made, 0 if saved else vain + 1, seed + 1
+    still = marked.filter("not moving").withColumn("packs", F.when((F.col("status") == "bound") & F.col("gap"), 0).otherwise(F.col("packs")))
+    told = counts.select("budget_id", F.lit(-1).cast("bigint").alias("shard"), F.lit("bound").alias("status"), F.col("n_packs").alias("packs"), F.lit(0).cast("bigint").alias("room"))
+    told = told.join(broadcast_if_small(settle(_totals(packed).select("budget_id", "capacity"))), "budget_id")
+    return still.select(*packed.columns).unionByName(rows.withColumn("sums", F.lit(None).cast("array<bigint>")).select(*packed.columns)).unionByName(told, allowMissingColumns=True)
 
 
 def _limits(budget_states: DataFrame) -> DataFrame:
     return newest(budget_states, {"budget_id": clean_id("budget_id")}, "ingested_at", {"capacity": F.col("max_tokens").cast("bigint")}).withColumn("known", F.lit(True))
 
 
-def pack_candidates(scored_candidates: DataFrame, budget_states: DataFrame, shard_items: int = SHARD_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack_candidates(scored_candidates: DataFrame, budget_states: DataFrame, shard_items: int = SHARD_ITEMS, patience: int = PATIENCE) -> DataFrame:
     """Rows of ``OUT``: every valid candidate with its pack, and one row per shard (status ``bound``) with packs and bounds.
 
     status is ``packed``; ``oversize``: larger than a whole pack, so it fills ``packs`` packs of its own from ``pack`` on, and
@@ -238,15 +282,16 @@ def pack_candidates(scored_candidates: DataFrame, budget_states: DataFrame, shar
     candidate count once, by the newest ``scored_at``; rows with a null key are kept as keys of their own.
     """
     keys = {"budget_id": clean_id("budget_id"), "kind": clean_id("kind"), "candidate_id": clean_id("candidate_id")}
-    many = scored_candidates.groupBy(clean_id("budget_id").alias("budget_id")).agg(F.ceil(F.count(F.lit(1)) / shard_items).cast("bigint").alias("shards")).filter("shards > 1")
+    many = scored_candidates.groupBy(clean_id("budget_id").alias("budget")).agg(F.ceil(F.count(F.lit(1)) / shard_items).cast("bigint").alias("shards")).filter("shards > 1")
     many = settle(many)
     valid = newest(scored_candidates, keys, "scored_at", {"estimated_tokens": F.col("estimated_tokens").cast("bigint")})
-    split = valid.join(broadcast_if_small(many), "budget_id", "left").withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("kind", "candidate_id"), F.col("shards"))).cast("bigint")).drop("shards")
+    met = valid.join(broadcast_if_small(many), F.col("budget_id").eqNullSafe(F.col("budget")), "left")
+    split = met.withColumn("shard", F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("kind", "candidate_id"), F.col("shards"))).cast("bigint")).drop("shards", "budget")
     shards = F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).alias("shard")
-    limits = _limits(budget_states).join(broadcast_if_small(many), "budget_id", "left").select("budget_id", "capacity", "known", shards)
+    limits = _limits(budget_states).join(broadcast_if_small(many.filter("budget is not null").withColumnRenamed("budget", "budget_id")), "budget_id", "left").select("budget_id", "capacity", "known", shards)
     placed = split.repartition("budget_id", "shard").join(limits, ["budget_id", "shard"], "left")
-    packed = _pack_all(_pieces(placed), 0)
-    return _exchange(settle(packed), shard_items, rounds) if not many.isEmpty() else packed
+    packed = _pack_all(_pieces(placed))
+    return _exchange(settle(packed), shard_items, patience) if not many.isEmpty() else packed
 
 
 def _pieces(placed: DataFrame) -> DataFrame:

@@ -9,17 +9,18 @@ from ..sources.tables import read_table
 from . import cooccurrence, encoding, encodings, mixing, packing
 
 
-def _file_sets(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.file_sets(read_table(spark, d, "change_records"), read_table(spark, d, "missions"))
+def _file_sets(spark: SparkSession, d: str, most_items: int | None = None) -> DataFrame:
+    return cooccurrence.file_sets(read_table(spark, d, "change_records"), read_table(spark, d, "missions"), most_items)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = cooccurrence.cooccurrence(_file_sets(spark, d), min_both=5, min_lift=4)
+    """Only records of 1 to 50 files count here, as the case is defined."""
+    pairs = cooccurrence.cooccurrence(_file_sets(spark, d, most_items=50), min_both=5, min_lift=4)
     return pairs.select("project_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of files that any record names together, with counts, lift and odds ratio."""
+    """All pairs of files that any record names together, with counts, lift and odds ratio; records of any number of files count."""
     return cooccurrence.cooccurrence(_file_sets(spark, d))
 
 
@@ -73,12 +74,13 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_packs, p2_ce
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _PATH = rf"nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(trim(f, {_BLANKS}), chr(92), '/'), '//+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '^/|/$', '', 'g'), '')"
 
-_PAIRS = f"""
+def _pairs(most: str) -> str:
+    return f"""
 with cr as (select * from (select *, row_number() over (partition by change_id order by ingested_at desc) as rn from change_records) where rn = 1),
 ms as (select * from (select *, row_number() over (partition by mission_id order by ingested_at desc) as rn from missions) where rn = 1),
 named as (select distinct 'c' as t, change_id as id, project_id, {_PATH} as item from (select *, unnest(files_changed) as f from cr)
   union all select distinct 'm', mission_id, project_id, {_PATH} from (select *, unnest(affected_files) as f from ms)),
-sized as (select * from (select *, count(*) over (partition by t, id) as size from named where item is not null) where size <= 50),
+sized as (select * from (select *, count(*) over (partition by t, id) as size from named where item is not null) where {most}),
 totals as (select project_id, count(distinct (t, id)) as n from sized group by all),
 ones as (select project_id, item, count(*) as k from sized group by all),
 twos as (select a.project_id, a.item as item_a, b.item as item_b, count(*) as n_both from sized a join sized b on a.t = b.t and a.id = b.id and a.item < b.item group by all),
@@ -91,8 +93,8 @@ b as (select * from (select *, row_number() over (partition by budget_id order b
 """
 
 ORACLE_SQL = {
-    "p1_found": _PAIRS + "select project_id, item_a as file_a, item_b as file_b from told where n_both >= 5 and n_both * n >= 4 * n_a * n_b",
-    "p1_pairs": _PAIRS + """select project_id, item_a, item_b, n_both, n_a, n_b, n, (n_both * n) / (n_a * n_b)::double as lift,
+    "p1_found": _pairs("size <= 50") + "select project_id, item_a as file_a, item_b as file_b from told where n_both >= 5 and n_both * n >= 4 * n_a * n_b",
+    "p1_pairs": _pairs("true") + """select project_id, item_a, item_b, n_both, n_a, n_b, n, (n_both * n) / (n_a * n_b)::double as lift,
   ((n_both::double + 0.5) * (n::double - n_a - n_b + n_both + 0.5)) / ((n_a::double - n_both + 0.5) * (n_b::double - n_both + 0.5)) as odds_ratio from told""",
     "p6_round_trip": "select doc_id, true as same from documents",
     "p2_found": _VALID + "select budget_id, kind, candidate_id from c join b using (budget_id) where c.estimated_tokens > b.max_tokens",

@@ -41,7 +41,8 @@ def test_counts_like_brute_force(spark):
 
 def test_hot_items_give_the_same(spark):
     sets = [(p, ["hot", *i]) for p, i in sample(2)]
-    assert got(C.cooccurrence(spark.createDataFrame(sets, SETS), hot_baskets=20)) == truth(sets)
+    assert got(C.cooccurrence(spark.createDataFrame(sets, SETS))) == truth(sets)
+    assert got(C.cooccurrence(spark.createDataFrame(sets, SETS), 3, 1)) == truth(sets, 3, 1)
 
 
 def test_empty_and_single(spark):
@@ -61,7 +62,8 @@ def test_file_sets(spark):
     ], "change_id string, project_id string, files_changed array<string>, ingested_at timestamp_ntz, items int")
     missions = spark.createDataFrame([("m", " p", ["a.ts"], T(2025, 1, 1))], "mission_id string, project_id string, affected_files array<string>, ingested_at timestamp_ntz")
     rows = defaultdict(list)
-    for r in C.file_sets(changes, missions).collect():
+    assert max(len(r["items"]) for r in C.file_sets(changes, missions).collect()) == 51
+    for r in C.file_sets(changes, missions, 50).collect():
         rows[r.project_id].append(sorted(r["items"]))
     assert sorted(rows["p"]) == [["../up", "A/b", "a/b"], ["a.ts"], ["a.ts", "x/b.ts"]]
     assert len(rows[""]) == 1 and len(rows[""][0]) == 50
@@ -70,7 +72,24 @@ def test_file_sets(spark):
 def test_run_lengths_carry_over_batches():
     import pyarrow as pa
 
-    codes = sorted(random.Random(3).choices(range(20), k=200))
-    batches = [pa.RecordBatch.from_arrays([pa.array(codes[i : i + 7], pa.int64()), pa.array([1] * len(codes[i : i + 7]), pa.int64())], ["code", "n"]) for i in range(0, 200, 7)]
-    out = [row for b in C._run_lengths(iter(batches)) for row in zip(b["code"].to_pylist(), b["n"].to_pylist())]
-    assert dict(out) == Counter(codes) and len(out) == len(set(codes))
+    codes = sorted(random.Random(3).choices([(p, c) for p in (0, 7) for c in range(20)], k=200))
+    rows = pa.table({"first": pa.array([c[0] for c in codes], pa.int64()), "code": pa.array([c[1] for c in codes], pa.int64()), "n": pa.array([1] * 200, pa.int64())})
+    for size in (1, 7, 500):
+        out = [tuple(row.values()) for b in C._run_lengths(iter(rows.to_batches(max_chunksize=size))) for row in b.to_pylist()]
+        assert {r[:2]: r[2] for r in out} == Counter(codes) and len(out) == len(set(codes))
+
+
+def test_long_baskets_are_cut_into_runs(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "RUN_CODES", 100)
+    baskets = [(5, list(range(60))), (5, [1, 4]), (5, [3]), (9, []), (9, list(range(0, 400, 2)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([f for f, _ in baskets], pa.int64()), pa.array([i for _, i in baskets], pa.list_(pa.int64()))], ["first", "ids"])
+    runs = list(C._sorted_runs(iter([batch])))
+    assert max(r.num_rows for r in runs) <= 400
+    total = Counter()
+    for r in runs:
+        keys = list(zip(r["first"].to_pylist(), r["code"].to_pylist()))
+        assert keys == sorted(set(keys))
+        total.update(dict(zip(keys, r["n"].to_pylist())))
+    assert total == Counter((f, a << 32 | b) for f, ids in baskets for a, b in combinations(ids, 2))
