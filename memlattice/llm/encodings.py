@@ -51,14 +51,17 @@ SOUND_PRIOR = 6.0
 GAIN = 4.0
 #: A chain of one-byte encodings decodes anything, so it is believed only on passages of at least this many characters.
 LEAST_LENGTH = 2
-#: Chains tried on a passage, from the most likely on.
-TRIED = 8
+#: A passage that no chain restores is garbled all the same if the log weight of a chain beats that of a sound passage by this.
+CERTAIN = 25.0
 #: Categories of characters that no restored passage has: controls, surrogates and unassigned ones; blanks and format characters may be.
 UNLIKELY = ("Cc", "Cs", "Cn")
 #: Passages whose result a worker keeps.
 KEPT = 100_000
 
-WORDS = re.compile(r"[^ \t\n\r\f\v\x00-\x7f]+(?:[^ \t\n\r\f\v]*)|[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
+#: Characters per piece of a training word.
+PIECE = 400
+
+WORDS = re.compile(r"[^ \t\n\r\f\v]+")
 QUOTED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 
 
@@ -154,7 +157,7 @@ def passages(text: str) -> list[str]:
     """The words with characters beyond ASCII, without what stands between backticks."""
     if text.isascii():
         return []
-    return WORDS.findall(QUOTED.sub(" ", text) if "`" in text else text)
+    return [w for w in WORDS.findall(QUOTED.sub(" ", text) if "`" in text else text) if not w.isascii()]
 
 
 def script_of(word: str) -> int:
@@ -174,12 +177,12 @@ def _looks_garbled(word: str) -> bool:
 
 
 def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, words): of each document with passages a hash of them in their order, and the different ones."""
+    """(key, words): of each document with passages a hash of them in their order, and the different ones; words longer than PIECE count piece by piece."""
     for batch in batches:
         told = {}
         for text in batch.column(0).to_pylist():
             if text and (found := passages(text)):
-                told[hashlib.md5("\n".join(found).encode("utf-8", "surrogatepass")).digest()] = sorted({w[:400] for w in found})
+                told[hashlib.md5("\n".join(found).encode("utf-8", "surrogatepass")).digest()] = sorted({piece for w in found for at in range(0, len(w), PIECE) if not (piece := w[at : at + PIECE]).isascii()})
         yield pa.RecordBatch.from_arrays([pa.array(told.keys(), pa.binary()), pa.array(told.values(), pa.list_(pa.string()))], ["key", "words"])
 
 
@@ -268,21 +271,30 @@ class Restorer:
 
     def scores(self, word: str) -> np.ndarray:
         """Of sound and of each chain, the best script of each."""
-        out = self.weights[:, bigrams(word)].sum(axis=1).reshape(-1, len(SCRIPTS)).max(axis=1)
+        found = bigrams(word)
+        if len(found) > PIECE:
+            kinds, n = np.unique(found, return_counts=True)
+            sums = self.weights[:, kinds] @ n
+        else:
+            sums = self.weights[:, found].sum(axis=1)
+        out = sums.reshape(-1, len(SCRIPTS)).max(axis=1)
         out[0] += SOUND_PRIOR
         return out
 
     def judge(self, word: str) -> tuple[str, str] | None:
         """None for a sound passage, else (chain, restored passage); the passage itself where it can't be restored."""
-        if word not in self.known:
+        if word in self.known:
+            return self.known[word]
+        hit = self._judge(word)
+        if len(word) <= PIECE:
             if len(self.known) > KEPT:
                 self.known.clear()
-            self.known[word] = self._judge(word)
-        return self.known[word]
+            self.known[word] = hit
+        return hit
 
     def _judge(self, word: str) -> tuple[str, str] | None:
         scores = self.scores(word)
-        likely = [k for k in np.argsort(-scores)[:TRIED] if k and scores[k] > scores[0]]
+        likely = [int(k) for k in np.argsort(-scores) if k and scores[k] > scores[0]]
         if not likely:
             return None
         for k in likely:
@@ -294,6 +306,8 @@ class Restorer:
         for k in likely:
             if CHAINS[k - 1].endswith("!") and "�" in word or holds_sequence(word, CHAINS[k - 1]):
                 return CHAINS[k - 1], word
+        if scores[likely[0]] - scores[0] > CERTAIN:
+            return CHAINS[likely[0] - 1], word
         return None
 
 

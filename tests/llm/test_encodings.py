@@ -80,3 +80,38 @@ def test_backticks_lost_characters_and_nothing(spark):
 def test_empty_corpus(spark):
     assert G.repaired(spark.createDataFrame([], DOCS)).count() == 0
     assert G.repaired(spark.createDataFrame([(1, "plain", ""), (2, None, "")], DOCS)).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    weights = np.zeros((G.N_LABELS, G.BUCKETS), np.float32)
+    restorer = G.Restorer(weights)
+    for run in ("x" * 1_000_000 + " é", "é" + "x" * 1_000_000, "я" * 1_000_000):
+        began = time.perf_counter()
+        words = G.passages(run)
+        assert time.perf_counter() - began < 1
+        assert words == [w for w in run.split() if not w.isascii()]
+        restorer.scores(words[0])
+        assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("chain", ["cp1251>cp1252", "utf-8>cp932", "utf-8>gbk"])
+def test_damaged_passages_are_found_by_any_chain(chain):
+    """What no chain restores is still found where the classifier is certain."""
+    sound = "объединение"
+    broken = G.garble(sound, chain)
+    damaged = broken[:3] + "語" + broken[3:-1]  # no chain inverts it
+    counts = np.full((G.N_LABELS, G.BUCKETS), G.SMOOTHING)
+    np.add.at(counts[1], G.bigrams(sound), 1000)
+    np.add.at(counts[len(G.SCRIPTS) * (G.CHAINS.index(chain) + 1)], G.bigrams(broken), 1000)
+    restorer = G.Restorer(np.log(counts / counts.sum(axis=1, keepdims=True)))
+    assert restorer.judge(damaged) == (chain, damaged) and restorer.judge(sound) is None
+
+
+def test_long_training_words_count_piece_by_piece():
+    import pyarrow as pa
+
+    word = "é" * 450 + "x" * 500 + "ü"
+    rows = list(G._training_words(iter([pa.RecordBatch.from_arrays([pa.array([word])], ["text"])])))[0].to_pylist()
+    assert rows[0]["words"] == sorted(["é" * 400, "é" * 50 + "x" * 350, "x" * 150 + "ü"])

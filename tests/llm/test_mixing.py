@@ -75,6 +75,16 @@ def test_buckets_do_not_change_the_order_of_tokens(spark, monkeypatch):
     assert {k: r.copies for k, r in split.items()} == {k: r.copies for k, r in whole.items()} and shares["a"].most_copies == 1
 
 
+def test_quotas_are_met_in_spite_of_long_documents(spark):
+    """A third of the tokens of each source are in a few long documents; no cap binds."""
+    docs = [(f"word {i} " * (600 if i % 40 == 0 else 1 + i % 20), "ab"[i % 2]) for i in range(900)]
+    for seed in (1, 2, 3):
+        copies, shares = mixed(spark, docs, [("a", 0.83, 9), ("b", 0.17, 9)], seed=seed)
+        for r in shares.values():
+            assert abs(r.mixed_tokens - r.quota_blocks * 16) <= 0.005 * r.mixed_tokens and r.most_copies <= 9
+        assert min(r.copies for r in copies.values()) >= 0
+
+
 @pytest.mark.parametrize("docs, targets", [([], [("a", 1.0, 1)]), ([("x", "a")], []), ([(None, "a")], [("a", 1.0, None)])])
 def test_empty(spark, docs, targets):
     copies, shares = mixed(spark, docs, targets)
