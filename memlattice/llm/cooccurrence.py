@@ -27,17 +27,15 @@ RUN_CODES = 1 << 20
 CODES = "first bigint, code bigint, n bigint"
 
 
-def file_sets(change_records: DataFrame, missions: DataFrame, most_items: int | None = None) -> DataFrame:
-    """project_id and items (distinct cleaned paths) of every valid change record and mission that names a file, at most ``most_items`` if given.
+def file_sets(change_records: DataFrame, missions: DataFrame) -> DataFrame:
+    """project_id and items (distinct cleaned paths, maybe none) of every valid change record and mission.
     Null arrays, null and blank elements and paths that lead nowhere name nothing; a null project is a project of its own, named by the empty text."""
 
     def sets(table: DataFrame, key: str, files: str) -> DataFrame:
         rows = newest(table, {"id": clean_id(key)}, "ingested_at", {"project_id": clean_id("project_id"), "files": F.col(files)})
         return rows.filter("id is not null").select(F.coalesce("project_id", F.lit("")).alias("project_id"), clean_paths("files").alias("items"))
 
-    both = sets(change_records, "change_id", "files_changed").unionByName(sets(missions, "mission_id", "affected_files"))
-    named = both.filter(F.size("items") > 0)
-    return named if most_items is None else named.filter(F.size("items") <= most_items)
+    return sets(change_records, "change_id", "files_changed").unionByName(sets(missions, "mission_id", "affected_files"))
 
 
 def _codes(first: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -105,9 +103,9 @@ def pair_counts(baskets: DataFrame) -> DataFrame:
     return merged.withColumnRenamed("n", "n_both")
 
 
-def cooccurrence(sets: DataFrame, min_both: int = 1, min_lift: int = 0) -> DataFrame:
+def cooccurrence(sets: DataFrame, min_both: int = 1, min_lift: int = 0, most_items: int | None = None) -> DataFrame:
     """project_id, item_a, item_b (item_a < item_b by code points), n_both, n_a, n_b, n, lift, odds_ratio for all pairs of items
-    of one project with n_both >= min_both and n_both * n >= min_lift * n_a * n_b, where n is the number of baskets of the project.
+    of one project with n_both >= min_both and n_both * n >= min_lift * n_a * n_b, where n is the number of baskets of the project. Baskets without items are none, nor are those with more than ``most_items``.
 
     ``sets``: project_id and items, an array of distinct non-null strings. Items that cannot be in any such pair (n_a <
     min_both, or min_lift * n_a > n, as n_both is at most the smaller of n_a and n_b) are left out before pairs are made;
@@ -115,7 +113,8 @@ def cooccurrence(sets: DataFrame, min_both: int = 1, min_lift: int = 0) -> DataF
     gives no rows; baskets of one item count in n only. The pairs are at most as many as the squares of the baskets' sizes
     add up to, however many baskets a project has. Hot items and projects are looked up by broadcast.
     """
-    sets = settle(sets.withColumn("basket", F.monotonically_increasing_id()))
+    sets = settle(sets.withColumn("basket", F.monotonically_increasing_id()))  # filtered after it, so that items are cleaned once
+    sets = sets.filter(F.size("items") > 0 if most_items is None else F.size("items").between(1, most_items))
     items = sets.select("project_id", "basket", F.explode("items").alias("item"))
     known = settle(items.groupBy("project_id", "item").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= min_both))
     sizes = settle(sets.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")))
@@ -125,7 +124,7 @@ def cooccurrence(sets: DataFrame, min_both: int = 1, min_lift: int = 0) -> DataF
     firsts = settle(known.groupBy("project_id").agg(F.min("id").alias("first"), F.max("id").alias("last")))
     if not firsts.filter(F.col("last") - F.col("first") >= MOST_ITEMS).isEmpty():
         raise ValueError("a project has more items than ids")
-    known = settle(look_up(known, firsts.drop("last"), ["project_id"], many))
+    known = look_up(known, firsts.drop("last"), ["project_id"], many)
     key = ["project_id", "item"]
     hot = hot_keys(known.select(*key, F.col("n_item").alias("n")), key)
     met = look_up(items, known.select(*key, "id", "first"), key, hot)

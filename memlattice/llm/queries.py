@@ -9,13 +9,13 @@ from ..sources.tables import read_table
 from . import cooccurrence, encoding, encodings, mixing, packing
 
 
-def _file_sets(spark: SparkSession, d: str, most_items: int | None = None) -> DataFrame:
-    return cooccurrence.file_sets(read_table(spark, d, "change_records"), read_table(spark, d, "missions"), most_items)
+def _file_sets(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.file_sets(read_table(spark, d, "change_records"), read_table(spark, d, "missions"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Only records of 1 to 50 files count here, as the case is defined."""
-    pairs = cooccurrence.cooccurrence(_file_sets(spark, d, most_items=50), min_both=5, min_lift=4)
+    pairs = cooccurrence.cooccurrence(_file_sets(spark, d), min_both=5, min_lift=4, most_items=50)
     return pairs.select("project_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
