@@ -158,11 +158,11 @@ def payload_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with n as (select project_id, abstraction_level, count(*) as n from {_LIVE} where abstraction_level is not null group by all)
-select project_id, count(*) as n_levels, cast(max(n) as bigint) as most, arg_max(abstraction_level, n * 1000 - list_position(['component', 'domain', 'function', 'module', 'project', 'subsystem'], abstraction_level)) as commonest from n group by project_id""")
+select project_id, count(*) as n_levels, cast(max(n) as bigint) as most, first(abstraction_level order by n desc, abstraction_level) as commonest from n group by project_id""")
 def level_spread(spark: SparkSession, d: str) -> DataFrame:
     """Levels in use per project and the commonest of them (the first by name among equals)."""
     n = _live(spark, d).filter("abstraction_level is not null").groupBy("project_id", "abstraction_level").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max_by("abstraction_level", F.struct(F.col("n"), -F.array_position(F.array_sort(F.array(*map(F.lit, checks.LEVELS))), F.col("abstraction_level"))))
+    best = F.min_by("abstraction_level", F.struct(-F.col("n"), "abstraction_level"))
     return n.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_levels"), F.max("n").alias("most"), best.alias("commonest"))
 
 

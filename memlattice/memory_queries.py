@@ -9,7 +9,9 @@ from .functions import paths as P
 from .functions import text as T
 from .functions.cleaning import clean_id, clean_ids, clean_path, clean_paths, utc_time
 from .operators import checks, flattening, hierarchy, ranking
+from .plans.settle import settle
 from .plans.versions import newest
+from .problem_queries import REPORTS_SQL
 from .registry import Registry
 from .sources.tables import read_table
 
@@ -92,9 +94,9 @@ def overreach_signals(spark: SparkSession, d: str) -> DataFrame:
 def all_overreach_signals(spark: SparkSession, d: str) -> DataFrame:
     """As ``overreach_signals``, with every rule that the paths of a change can answer; files of the memory are neither source nor docs."""
     c, path = F.col, F.col("path")
-    memory = F.lower(path).startswith(".abstraction-tree/")
+    memory = P.is_memory(path)
     areas = F.when(memory, F.array_except(P.areas(path), F.array(F.lit("source"), F.lit("docs")))).otherwise(P.areas(path))
-    areas = F.concat(areas, F.filter(F.array(F.when(memory, "memory"), F.when(P.is_generated_memory(path), "generated-memory"), F.when(F.lower(path).startswith(".abstraction-tree/automation/"), "automation")), lambda a: a.isNotNull()))
+    areas = F.concat(areas, F.filter(F.array(F.when(memory, "memory"), F.when(P.is_generated_memory(path), "generated-memory"), F.when(memory & ~P.is_generated_memory(path), "automation")), lambda a: a.isNotNull()))
     rows = _changed_files(spark, d).filter("path is not null").withColumn("areas", areas)
     has = lambda a: F.array_contains("areas", a)
     n = {a: F.count_if(has(a)).alias(f"n_{a}") for a in ("source", "tests", "docs", "package", "app", "automation")}
@@ -113,7 +115,7 @@ def all_overreach_signals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_FILES} select path, count(distinct change_id) as n_changes from files where regexp_matches(lower(path), 'secret|credential|token|\\.(key|pem|p12|pfx)$') group by path""")
 def dangerous_paths(spark: SparkSession, d: str) -> DataFrame:
     """Files with secret-like names that were changed, and how often."""
-    rows = _changed_files(spark, d).filter(F.array_contains(P.dangers(F.col("path")), "secret-like path"))
+    rows = _changed_files(spark, d).filter(F.lower("path").rlike(r"secret|credential|token|\.(key|pem|p12|pfx)$"))
     return rows.groupBy("path").agg(F.countDistinct("change_id").alias("n_changes"))
 
 
@@ -205,10 +207,10 @@ def node_drift(spark: SparkSession, d: str) -> DataFrame:
     return checks.drift(stored, _live(spark, d), ["project_id", "node_id"], texts)
 
 
-@query("select project_id, lower(node_id) as folded, count(distinct node_id) as n from tree_nodes group by all having count(distinct node_id) > 1")
+@query(f"select {_ID.format('project_id')} as project_id, lower({_ID.format('node_id')}) as folded, count(distinct {_ID.format('node_id')}) as n from tree_nodes group by all having count(distinct {_ID.format('node_id')}) > 1")
 def folded_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Node ids of a project that differ only in case."""
-    ids = read_table(spark, d, "tree_nodes").select("project_id", F.lower("node_id").alias("folded"), "node_id").distinct()
+    ids = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), F.lower(clean_id("node_id")).alias("folded"), clean_id("node_id").alias("node_id")).filter("node_id is not null").distinct()
     return checks.duplicate_keys(ids, ["project_id", "folded"])
 
 
@@ -342,40 +344,52 @@ def budget_selection(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
-_CW = r"""list_transform(string_split_regex(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: case when w = 'children' then 'child' when w = 'status' then w when length(w) > 4 and w like '%ies' then w[:-4] || 'y'
-  when length(w) > 4 and regexp_matches(w, '(ches|shes|xes|zes|ses)$') then w[:-3] when length(w) > 3 and w like '%s' and w not like '%ss' then w[:-2] else w end)"""
-_CSTOP = ", ".join(f"'{w}'" for w in T.CONCEPT_STOP_WORDS)
-_LSTOP = ", ".join(f"'{w}'" for w in T.LONE_STOP_WORDS)
+def _singular_sql(w: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({w}, '.{{{{{n}}}}}{ending}$') then regexp_replace({w}, '{ending}$', '{instead}')" for ending, instead, n in T.PLURALS) + f" else {w} end"
+
+
+_CW = r"list_transform(string_split_regex(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: " + _singular_sql("w") + ")"
+_GRAMS = "list_transform(list_filter(list_transform(range(1, len(words) - {0}), lambda i: words[i:i+{1}]), lambda g: len(list_filter(g, lambda w: not list_contains(common, w))) > 0), lambda g: array_to_string(g, ' '))"
 
 
 @query(rf"""with e as (select project_id, {_PATH.format('f')} as path, unnest(string_split({_PATH.format('f')}, '/')) as segment from (select *, unnest(source_files) as f from {_LIVE})),
-w as (select project_id, path, list_filter({_CW.format('segment')}, lambda w: length(w) >= 3 and w not in ({_CSTOP})) as words from e),
-g as (select project_id, path, list_distinct(list_concat(list_filter(words, lambda w: w not in ({_LSTOP})),
-  list_transform(list_filter(list_transform(range(1, len(words)), lambda i: words[i:i+1]), lambda g: len(list_filter(g, lambda w: w not in ({_LSTOP}))) > 0), lambda g: array_to_string(g, ' ')),
-  list_transform(list_filter(list_transform(range(1, len(words) - 1), lambda i: words[i:i+2]), lambda g: len(list_filter(g, lambda w: w not in ({_LSTOP}))) > 0), lambda g: array_to_string(g, ' ')))) as terms from w where len(words) > 0),
+w as (select project_id, path, list_filter({_CW.format('segment')}, lambda w: length(w) >= 3) as words from e),
+n as (select word, count(distinct (project_id, path)) as n from (select project_id, path, unnest(words) as word from w) group by word),
+k as (select coalesce(list(word), []) as common from n where n > {T.COMMON_SHARE} * (select count(distinct (project_id, path)) from w)),
+g as (select project_id, path, list_distinct(list_concat(list_filter(words, lambda w: not list_contains(common, w)), {_GRAMS.format(0, 1)}, {_GRAMS.format(1, 2)})) as terms from w, k where len(words) > 0),
 t as (select project_id, path, unnest(terms) as term from g),
 a as (select project_id, term, cast(2 * count(*) as bigint) as score, count(distinct path) as n_files from t group by all),
 r as (select *, row_number() over (partition by project_id order by score desc, n_files desc, term) as rank from a where n_files >= 2 and score >= 4)
 select project_id, term, score, n_files, cast(rank as bigint) as rank from r where rank <= 32""")
 def path_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """The 32 strongest concepts of each project by the path segments of its nodes' files: words and compounds named in two files or more."""
+    """The 32 strongest concepts of each project by the path segments of its nodes' files: words and compounds named in two files or
+    more. Words in more than COMMON_SHARE of all files name nothing alone; there are at most as many as a file has words over that share."""
     files = _live(spark, d).select("project_id", F.explode(F.transform("source_files", clean_path)).alias("path")).filter("path is not null")
     segments = files.select("project_id", "path", F.explode(F.split("path", "/")).alias("segment"))
-    words = segments.select("project_id", "path", T.concept_words("segment").alias("words"))
-    terms = words.select("project_id", "path", F.explode(T.concept_terms(F.col("words"))).alias("term"))
+    words = settle(segments.select("project_id", "path", T.concept_words("segment").alias("words")))
+    total = words.select("project_id", "path").distinct().count()
+    each = words.select("project_id", "path", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    common = [r.word for r in each.filter(F.col("n") > T.COMMON_SHARE * total).select("word").collect()]
+    terms = words.select("project_id", "path", F.explode(T.concept_terms(F.col("words"), common)).alias("term"))
     told = terms.groupBy("project_id", "term").agg((2 * F.count(F.lit(1))).alias("score"), F.countDistinct("path").alias("n_files")).filter("n_files >= 2 and score >= 4")
     top = ranking.top_per_group(told, ["project_id"], [F.desc("score"), F.desc("n_files"), F.asc("term")], 32)
     return top.select("project_id", "term", "score", "n_files", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(None)
+_NUMBERS = "select project_id, try_cast(coalesce(report->'tree'->>'nodeCount', report->'tree'->>'node_count') as double) as n, try_cast(coalesce(report->'tree'->>'averageExplanationLength', report->'tree'->>'average_explanation_length') as double) as length from reports where json_type(report->'tree') = 'OBJECT'"
+
+
+@query(f"""{REPORTS_SQL}, t as (select project_id, count(*) as n_reports, floor(avg(n) * 100 + 0.5) / 100 as mean_nodes, floor(avg(length) * 100 + 0.5) / 100 as mean_explanation_length from ({_NUMBERS}) group by project_id),
+i as (select project_id, count(*) filter (where item->>'severity' = 'error') as error, count(*) filter (where item->>'severity' = 'warning') as warning, count(*) filter (where item->>'severity' = 'info') as info from issue group by project_id)
+select project_id, n_reports, mean_nodes, mean_explanation_length, coalesce(error, 0) as error, coalesce(warning, 0) as warning, coalesce(info, 0) as info from t full join i using (project_id)""")
 def report_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Means over the evaluation reports of each project, and its issues by severity."""
     tables = flattening.report_tables(read_table(spark, d, "raw_reports"))
     number = lambda c: F.expr(f"try_cast({c} as double)")
     trees = tables["tree"].groupBy("project_id").agg(F.count(F.lit(1)).alias("n_reports"), T.rounded(F.avg(number("node_count"))).alias("mean_nodes"), T.rounded(F.avg(number("average_explanation_length"))).alias("mean_explanation_length"))
-    issues = tables["issues"].groupBy("project_id").pivot("severity", ["error", "warning", "info"]).count().na.fill(0)
-    return trees.join(issues, "project_id", "full_outer")
+    severities = ["error", "warning", "info"]
+    issues = tables["issues"].groupBy("project_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in severities))
+    return trees.join(issues, "project_id", "full_outer").na.fill(0, severities)
 
 
 @query(f"""with s as (select contract_id, project_id, {_ID.format('a')} as area from (select *, unnest(allowed_areas) as a from {_SC}) intersect select contract_id, project_id, {_ID.format('a')} from (select *, unnest(forbidden_areas) as a from {_SC}))

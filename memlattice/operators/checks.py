@@ -59,10 +59,10 @@ def tree_metrics(nodes: DataFrame) -> DataFrame:
 
 
 def drift(stored: DataFrame, current: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
-    """keys and state (added, removed, changed or same) of all rows of two states of a table, each unique by keys."""
-    digest = lambda df, name: df.select(*keys, F.xxhash64(*compared).alias(name))
-    both = digest(stored, "old").join(digest(current, "new"), keys, "full_outer")
-    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("same")
+    """keys and state (added, removed, changed or same) of all rows of two states of a table, each unique by keys. Values are compared one by one, nulls as values of their own."""
+    side = lambda df, name: df.select(*keys, F.struct(*compared).alias(name), F.lit(True).alias(f"has_{name}"))
+    both = side(stored, "old").join(side(current, "new"), keys, "full_outer")
+    state = F.when(F.col("has_old").isNull(), "added").when(F.col("has_new").isNull(), "removed").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("changed")
     return both.select(*keys, state.alias("state"))
 
 

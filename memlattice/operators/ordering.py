@@ -1,33 +1,92 @@
-"""Levels of a dependency graph: what can start first, what next."""
+"""Order in dependency graphs: levels of what can start first, and circles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.settle import discard, settle
+from ..plans.settle import append, discard, settle
+
+
+def _edges(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    known = nodes.select(F.col("id").alias("needed"))
+    return settle(needs.join(known, "needed", "left_semi").select("id", "needed").distinct())
+
+
+def _peeled(edges: DataFrame, end: str, other: str) -> tuple[DataFrame, DataFrame | None]:
+    """(what is left of ``edges`` when rows whose ``other`` is nowhere an ``end`` are taken off until none is; the ends that lost
+    their last row: id, round). A round writes the edges that are left and appends the ends that are free to one table."""
+    free, at = None, 0
+    while True:
+        ends = edges.select(F.col(end).alias(other)).distinct()
+        left = settle(edges.join(ends, other, "left_semi").select("id", "needed"))
+        at += 1
+        lost = edges.select(F.col(end).alias("end")).distinct().join(left.select(F.col(end).alias("end")), "end", "left_anti").select(F.col("end").alias("id"), F.lit(at).alias("round"))
+        if left.count() == edges.count():
+            discard(left)
+            return edges, free
+        free = append(lost, free)
+        discard(edges)
+        edges = left
 
 
 def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """id and level of every node: 0 without needs, else one more than the highest level among what it needs; null for nodes
-    on a cycle or behind one.
+    on a circle or behind one.
+
+    ``nodes``: distinct id; ``needs``: id and needed. Needs of unknown ids hold nobody back. Each round takes off the needs that are
+    met; there are as many rounds as levels, over what is left.
+    """
+    nodes = nodes.select("id").distinct()
+    edges = _edges(nodes, needs)
+    started = settle(edges.select("id").distinct())
+    left, free = _peeled(edges, "id", "needed")
+    told = nodes.join(started, "id", "left_anti").select("id", F.lit(0).alias("level"))
+    if free is not None:
+        told = told.unionByName(free.select("id", F.col("round").alias("level")))
+    return told.unionByName(left.select("id").distinct().select("id", F.lit(None).cast("int").alias("level")))
+
+
+def _spread(edges: DataFrame, from_end: str, to_end: str) -> DataFrame:
+    """id and low: the least id from which each node is reached along ``edges`` (itself included)."""
+    ids = edges.select(F.col("id")).unionByName(edges.select(F.col("needed").alias("id"))).distinct()
+    low = settle(ids.withColumn("low", F.col("id")))
+    while True:
+        told = edges.join(low.select(F.col("id").alias(from_end), "low"), from_end).groupBy(F.col(to_end).alias("id")).agg(F.min("low").alias("heard"))
+        once = settle(low.join(told, "id", "left").select("id", F.least("low", F.coalesce("heard", "low")).alias("low"), (F.col("heard") < F.col("low")).alias("changed")))
+        discard(low)
+        low = once
+        if low.filter("changed").isEmpty():
+            return low.select("id", "low")
+
+
+def circles(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """id and circle of every node that lies on a circle of a general graph: nodes that need one another, however far around, have
+    the same circle, named by its least id. Arguments as of ``levels``; a node that needs itself is a circle.
 
-    ``nodes``: distinct id; ``needs``: id and needed. Needs of unknown ids hold nobody back. Each round takes the nodes whose
-    needs are all met, as joins over what is left; there are as many rounds as levels.
+    Nodes that nothing needs and nodes that need nothing are peeled off first. Then the least id spreads along the edges; a
+    node that reaches its colour's first node against the edges is on its circle. What is left is coloured again.
     """
-    left = settle(nodes.select("id").distinct())
-    open_needs = settle(needs.join(left.withColumnRenamed("id", "needed"), "needed", "left_semi").select("id", "needed").distinct())
-    done, level = None, 0
+    edges = _edges(nodes.select("id").distinct(), needs)
+    found = None
     while True:
-        ready = settle(left.join(open_needs.select("id").distinct(), "id", "left_anti"))
-        if ready.isEmpty():
+        edges, _ = _peeled(edges, "id", "needed")
+        edges, _ = _peeled(edges, "needed", "id")
+        if edges.isEmpty():
             break
-        ranked = ready.withColumn("level", F.lit(level))
-        done = ranked if done is None else done.unionByName(ranked)
-        rest = settle(left.join(ready, "id", "left_anti"))
-        unmet = settle(open_needs.join(ready.withColumnRenamed("id", "needed"), "needed", "left_anti").select("id", "needed"))
-        discard(left)
-        discard(open_needs)
-        left, open_needs, level = rest, unmet, level + 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+        colour = settle(_spread(edges, "id", "needed"))
+        same = edges.join(colour.select("id", F.col("low").alias("a")), "id").join(colour.select(F.col("id").alias("needed"), F.col("low").alias("b")), "needed").filter("a = b")
+        inner = settle(same.select("id", "needed", F.col("a").alias("colour")))
+        # Against the edges, from the first node of each colour, within the colour.
+        reached = settle(colour.filter("id = low").select("id", F.col("low").alias("colour")))
+        new = reached
+        while not new.isEmpty():
+            ahead = inner.join(new.select(F.col("id").alias("needed"), "colour"), ["needed", "colour"]).select("id", "colour").distinct()
+            new = settle(ahead.join(reached, ["id", "colour"], "left_anti"))
+            reached = append(new, reached)
+        on = inner.join(reached.select("id", "colour"), ["id", "colour"], "left_semi").join(reached.select(F.col("id").alias("needed"), "colour"), ["needed", "colour"], "left_semi")
+        found = append(on.select("id", F.col("colour").alias("circle")).distinct(), found)
+        edges = settle(edges.join(reached.select("id"), "id", "left_anti").join(reached.select(F.col("id").alias("needed")), "needed", "left_anti").select("id", "needed"))
+    if found is None:
+        return edges.select("id", F.col("needed").alias("circle"))
+    return found

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.dictionary import dense_ids, hot_keys, look_up
+from ..plans.settle import settle
+
 
 def top_per_group(scored: DataFrame, group: list[str], order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows of each group with their rank; Spark drops rows beyond the limit before the shuffle."""
@@ -51,9 +54,13 @@ def budget_selection(candidates: DataFrame, group: str, limits: dict[str, int],
     Kinds are served in the order of ``limits`` from one budget ``max_tokens`` (null: no limit); inside a kind candidates
     come in the given order. One beyond the limit of its kind is ``hard-limit``; one that does not fit what is left of the
     budget is ``token-budget`` and is skipped, and the next is tried; the others are ``selected``. Null and negative sizes
-    count as 0. Only candidates within the limits, a bounded number per group, are folded; the others never meet in one row.
+    count as 0. Positions come from one range-partitioned numbering of all rows, so no task sorts a whole group; ``order`` must decide
+    ties. Only candidates within the limits, a bounded number per group, are folded; the others never meet in one row.
     """
-    placed = candidates.filter(F.col("kind").isin(*limits)).withColumn("position", F.row_number().over(Window.partitionBy(group, "kind").orderBy(*order)))
+    numbered = dense_ids(settle(candidates.filter(F.col("kind").isin(*limits))), [F.col(group), F.col("kind"), *order], "number")
+    firsts = settle(numbered.groupBy(group, "kind").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")))
+    hot = hot_keys(firsts, [group, "kind"])
+    placed = look_up(numbered, firsts.drop("n"), [group, "kind"], hot).withColumn("position", (F.col("number") - F.col("first") + 1).cast("int"))
     kinds = list(limits)
     turn = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
     limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("kind"))

@@ -11,12 +11,12 @@ from .settle import discard, settle
 HOT_PER_PARTITION = 4
 
 
-def ordered_ids(distinct: DataFrame, order: list[str], name: str) -> DataFrame:
+def ordered_ids(distinct: DataFrame, order: list, name: str) -> DataFrame:
     """Add ``name``: unique ids that rise with the columns ``order``, with gaps. ``distinct`` must be settled (it is sampled, then sorted)."""
     return settle(distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
-def dense_ids(distinct: DataFrame, order: list[str], name: str) -> DataFrame:
+def dense_ids(distinct: DataFrame, order: list, name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in the order of the columns ``order``. ``distinct`` must be settled (it is sampled, then sorted).
 
     Rows are range-partitioned and numbered inside each partition; the offsets come from one row per partition, so no

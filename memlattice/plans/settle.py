@@ -74,3 +74,13 @@ def discard_all(spark: SparkSession) -> None:
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a settled frame for broadcast when it has at most ``most`` rows; beyond that the join shuffles (AQE splits skew)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def append(df: DataFrame, to: DataFrame | None = None) -> DataFrame:
+    """Add rows to a settled table, or begin one, and read it whole: tables that grow round by round keep a plan of one scan."""
+    if to is None:
+        return settle(df)
+    df.select(to.columns).write.mode("append").parquet(to._settled_at)
+    out = df.sparkSession.read.schema(to.schema).parquet(to._settled_at)
+    out._settled_at = to._settled_at
+    return out

@@ -45,15 +45,20 @@ def first_sightings(log: DataFrame, time: str, keys: list[str], late: str = "1 d
     return as_instant(log, time).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Run all that has arrived, batch by batch, and stop. The checkpoint lies in the shared folder, so a lost executor or
-    driver resumes; ``each`` gets every batch once or, after a failure, again under the same number."""
-    at = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> None:
+    """Run all that has arrived, batch by batch, and stop. A run with the same ``checkpoint`` folder goes on where the last one
+    ended or was lost; without one it begins anew. ``each`` gets every batch once or, after a failure, again under the same number."""
+    at = checkpoint or f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
 
 
-def collected(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result table of an aggregation over all that has arrived, as written by the last batch."""
-    at = f"{shared_folder(stream.sparkSession)}/stream-table-{uuid.uuid4().hex}"
-    run_available(stream, lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(at), mode)
-    return stream.sparkSession.read.schema(stream.schema).parquet(at)
+def collected(stream: DataFrame, mode: str = "complete", table: str | None = None) -> DataFrame:
+    """The result table over all that has arrived: what the last batch wrote (complete), or the rows of all batches (append).
+
+    Every batch of an append writes a folder of its own number, so a batch that is run again replaces itself. With a
+    ``table`` folder, which keeps its checkpoint inside, a later call goes on with what has arrived since.
+    """
+    at = table or f"{shared_folder(stream.sparkSession)}/stream-table-{uuid.uuid4().hex}"
+    place = lambda number: f"{at}/rows" if mode == "complete" else f"{at}/rows/batch={number}"
+    run_available(stream, lambda batch, number: batch.write.mode("overwrite").parquet(place(number)), mode, f"{at}/checkpoint")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")

@@ -20,7 +20,12 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+    """The documents with their project's id cleaned."""
+    return read_table(spark, d, "documents").withColumn("project_id", clean_id("project_id"))
+
+
+def _with_project(source: str) -> str:
+    return f"(select * replace (nullif(trim(project_id, {_BLANKS}), '') as project_id) from {source})"
 
 
 @query(r"""
@@ -135,20 +140,21 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).filter("text is not null").select("doc_id", prose.alias("prose")).filter("prose <> ''").select("doc_id", T.truncated("prose", 80).alias("summary"))
 
 
+_LINE = r"regexp_extract(text, '[^\r\n]*[^\s][^\r\n]*')"
 _WORDS = rf"list_distinct(list_filter(string_split_regex(lower(regexp_replace({{}}, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP})))"
 
 
 @query(rf"""
-with q as (select doc_id as prompt_id, project_id, unnest({_WORDS.format('substring(text, 1, 80)')}) as word from documents where doc_id % 50 = 0),
+with q as (select doc_id as prompt_id, project_id, unnest({_WORDS.format(_LINE)}) as word from documents where doc_id % 50 = 0),
 t as (select doc_id, project_id, unnest({_WORDS.format('text')}) as token from documents),
 e as (select q.project_id, prompt_id, doc_id, word, case when word = token then 2.0 else 0.5 end as s from q join t on q.project_id = t.project_id and (word = token or (length(word) > 3 and (contains(token, word) or contains(word, token))))),
 b as (select project_id, prompt_id, doc_id, sum(s) as score from (select project_id, prompt_id, doc_id, word, max(s) as s from e group by all) group by all)
 select prompt_id, doc_id, cast(score as double) as score, cast(rank as bigint) as rank from (select *, row_number() over (partition by prompt_id order by score desc, doc_id) as rank from b) where rank <= 8""")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
-    """For the first 80 characters of every fiftieth document (doc_id divisible by 50) as a prompt: the eight documents of its
+    """For the first line of every fiftieth document (doc_id divisible by 50) as a prompt: the eight documents of its
     project that share most with it, whole words counting 2 and words that hold one another 0.5. ``search_whole_documents``
-    takes the whole texts."""
-    return _searched(_documents(spark, d), F.substring("text", 1, 80))
+    takes the whole texts as prompts."""
+    return _searched(_documents(spark, d), F.regexp_extract("text", r"[^\r\n]*[^\s][^\r\n]*", 0))
 
 
 def _searched(docs: DataFrame, prompt: Column) -> DataFrame:
@@ -166,7 +172,7 @@ def search_whole_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-with m as (select distinct project_id, doc_id, unnest(regexp_extract_all(text, '(project|domain|subsystem|module|component|function)\.[a-z]+\.[a-z]+-[0-9a-z]{3}')) as node_id from documents),
+with m as (select distinct trim(project_id) as project_id, doc_id, unnest(regexp_extract_all(text, '(project|domain|subsystem|module|component|function)\.[a-z]+\.[a-z]+-[0-9a-z]{3}')) as node_id from documents),
 n as (select project_id, node_id, deleted_at from (select *, row_number() over (partition by project_id, node_id order by ingested_at desc) as rn from tree_nodes) where rn = 1)
 select m.project_id, case when n.node_id is null then 'unknown' when deleted_at is not null then 'deleted' else 'known' end as state, count(*) as n_mentions from m left join n using (project_id, node_id) group by all""")
 def node_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +206,25 @@ def documents_over_time(spark: SparkSession, d: str) -> DataFrame:
     return monthly.withColumn("n_so_far", F.sum("n_documents").over(Window.partitionBy("project_id").orderBy(F.asc_nulls_first("month"))))
 
 
-@query(None)
+_HIDDEN = "text"
+_FOUND = []
+for _name, _pattern in T.SECRETS.items():
+    _quoted = _pattern.replace("'", "''")
+    _FOUND.append(f"coalesce(len(regexp_extract_all({_HIDDEN}, '{_quoted}')), 0) as {_name}")
+    _HIDDEN = f"regexp_replace({_HIDDEN}, '{_quoted}', '{T.MASK}', 'g')"
+
+
+@query(f"select doc_id, {_HIDDEN} as redacted, text is distinct from {_HIDDEN} as masked from documents")
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document with secrets masked, and whether anything was."""
     docs = _documents(spark, d).select("doc_id", "text", T.redacted("text").alias("redacted"))
     return docs.select("doc_id", "redacted", (~F.col("text").eqNullSafe(F.col("redacted"))).alias("masked"))
+
+
+@query(f"with f as (select project_id, unnest([{', '.join(f"{{'pattern': '{n}', 'n': {n}}}" for n in T.SECRETS)}]) as s from (select project_id, {', '.join(_FOUND)} from documents)) select project_id, s.pattern as pattern, cast(sum(s.n) as bigint) as n_secrets, count(*) filter (where s.n > 0) as n_documents from f group by all")
+def secret_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many secrets of each pattern the documents of each project hold, and in how many documents."""
+    found = _documents(spark, d).select("project_id", T.secrets_found("text").alias("found"))
+    each = F.array(*(F.struct(F.lit(name).alias("pattern"), F.col(f"found.{name}").alias("n")) for name in T.SECRETS))
+    counted = found.select("project_id", F.inline(each))
+    return counted.groupBy("project_id", "pattern").agg(F.sum("n").alias("n_secrets"), F.count_if(F.col("n") > 0).alias("n_documents"))

@@ -61,6 +61,9 @@ def test_drift_and_duplicates(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     new = spark.createDataFrame([(2, "B"), (3, None), (4, "d")], "k int, v string")
     assert {r.k: r.state for r in checks.drift(old, new, ["k"], ["v"]).collect()} == {1: "removed", 2: "changed", 3: "same", 4: "added"}
+    both = "k int, v string, w string"
+    moved = checks.drift(spark.createDataFrame([(1, None, "a"), (2, None, None)], both), spark.createDataFrame([(1, "a", None), (2, None, None)], both), ["k"], ["v", "w"])
+    assert {r.k: r.state for r in moved.collect()} == {1: "changed", 2: "same"}
     assert [tuple(r) for r in checks.duplicate_keys(old.union(new), ["k"]).orderBy("k").collect()] == [(2, 2), (3, 2)]
 
 
@@ -78,4 +81,23 @@ def test_levels(spark):
     nodes = spark.createDataFrame([(n,) for n in "abcdxyzs"], "id string")
     out = ordering.levels(nodes, spark.createDataFrame(needs, "id string, needed string"))
     assert {r.id: r.level for r in out.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None, "z": None, "s": None}
+    chain = spark.range(1, 12).selectExpr("cast(id as string) id", "cast(id - 1 as string) needed")
+    deep = ordering.levels(spark.range(12).selectExpr("cast(id as string) id"), chain)
+    assert {r.id: r.level for r in deep.collect()} == {str(i): i for i in range(12)}
     assert ordering.levels(nodes.limit(0), out.select("id", F.col("id").alias("needed")).limit(0)).count() == 0
+
+
+def test_circles_like_brute_force(spark):
+    r = random.Random(6)
+    graphs = [[(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(k)] for k in (10, 16, 26)]
+    graphs.append([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a"), ("e", "h"), ("x", "gone")])
+    for graph in graphs:
+        names = sorted({n for e in graph for n in e} - {"gone"})
+        edges = {e for e in graph if e[1] != "gone"}
+        reach = {n: {b for a, b in edges if a == n} for n in names}
+        for _ in names:
+            for n in names:
+                reach[n] |= set().union(*(reach[m] for m in reach[n]))
+        want = {n: min(m for m in names if m in reach[n] and n in reach[m]) for n in names if n in reach[n]}
+        got = ordering.circles(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(graph, "id string, needed string"))
+        assert {x.id: x.circle for x in got.collect()} == want

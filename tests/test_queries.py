@@ -66,8 +66,8 @@ def test_mentions_of_ids_of_any_length(spark, tmp_path):
 
 def test_all_rules_of_overreach(spark, tmp_path):
     files = {
-        "a": [".abstraction-tree/tree.json", ".abstraction-tree/runs/1.md"], "b": ["packages/core/src/a.ts"], "c": ["packages/core/src/a.ts", "packages/cli/src/b.ts", "src/a.test.ts"],
-        "d": ["packages/app/src/a.ts", "scripts/x.txt"], "e": ["packages/core/src/a.ts", ".abstraction-tree/concepts.json"], "f": [],
+        "a": [".memory/tree.json", ".memory/runs/1.md"], "b": ["packages/core/src/a.ts"], "c": ["packages/core/src/a.ts", "packages/cli/src/b.ts", "src/a.test.ts"],
+        "d": ["packages/app/src/a.ts", "scripts/x.txt"], "e": ["packages/core/src/a.ts", ".memory/concepts.json"], "f": [],
     }
     at = datetime.datetime(2025, 1, 1)
     rows = [(k, "p", "2025-01-01", k, "low", [], v, at) for k, v in files.items()]

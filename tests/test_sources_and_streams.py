@@ -51,5 +51,14 @@ def test_streams(spark, tmp_path):
     assert {(r.window.start.hour, r.kind, r.n) for r in counts.collect()} == {(0, "x", 3), (0, "y", 1), (2, "x", 1)}
     first = changes.collected(changes.first_sightings(read(), "ts", ["id"]), "append")
     assert sorted(r.id for r in first.collect()) == ["a", "b", "c"]
+    table = str(tmp_path / "table")
+    firsts = lambda: changes.collected(changes.first_sightings(read(), "ts", ["id"]), "append", table)
+    assert firsts().count() == 3 and firsts().count() == 3  # goes on from its checkpoint: nothing new, nothing twice
+    log(spark, folder, [("d", T(2025, 1, 1, 2, 30), "x"), ("c", T(2025, 1, 1, 2, 31), "x")])
+    assert sorted(r.id for r in firsts().collect()) == ["a", "b", "c", "d"]
+    batch = spark.createDataFrame([("e", T(2025, 1, 1), "x")], schema)
+    for _ in range(2):  # a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(f"{table}/rows/batch=99")
+    assert spark.read.schema(schema).parquet(f"{table}/rows").count() == 5
     sessions = changes.sessions(spark.read.parquet(folder), "ts", ["kind"])
     assert sorted((r.kind, r.n) for r in sessions.collect()) == [("x", 1), ("x", 1), ("x", 2), ("y", 1)]
