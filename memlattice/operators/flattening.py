@@ -137,6 +137,11 @@ def from_reports(raw_reports: DataFrame, *columns: Column) -> DataFrame:
     return reduce(DataFrame.unionByName, (p.filter("values is null").drop("values") for p in parts))
 
 
+def report_issues(field: str = "severity") -> Column:
+    """One field of each issue of ``report``, as an expression for ``from_reports``."""
+    return F.transform(_listed(F.try_variant_get("report", "$.issues", "variant")), lambda e: _field(e["item"], field))
+
+
 def _with_evidence(e: Column) -> Column:
     return F.struct(e["place"].alias("place"), e["item"].alias("item"), _listed(F.try_variant_get(e["item"], "$.evidence", "variant")).alias("evidence"))
 

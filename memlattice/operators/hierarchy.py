@@ -384,3 +384,27 @@ def descendants(spans: DataFrame) -> DataFrame:
     whole = node_table(spans).filter("cycle_id is null and depth > 0")
     above = F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("level", "node_id")
     return whole.select("project_id", F.col("node_id").alias("descendant_id"), "depth", above).select("project_id", "node_id", "descendant_id", (F.col("depth") - F.col("level")).alias("steps"))
+
+
+def visible(spans: DataFrame, matches: DataFrame) -> DataFrame:
+    """project_id, node_id, shown of the nodes that a search leaves visible: ``match``, else ``below`` a match, else ``above`` one.
+
+    ``matches``: distinct project_id and node_id. Along the tour of a root a match opens at its entry and closes at its exit: a node
+    lies below a match if one is open where it is entered, and above one if a match is entered before it is left. So both
+    come from running counts over the tour, not from pairs of nodes. Tours are cut into chunks; counts run inside a chunk
+    and over the chunks' totals. Nodes that never reach a root are not shown.
+    """
+    hit = spans.filter("cycle_id is null").join(matches.withColumn("hit", F.lit(1)), ["project_id", "node_id"], "left").na.fill(0, ["hit"])
+    ends = F.array(F.struct(F.col("entry").alias("at"), F.lit(True).alias("enters")), F.struct(F.col("exit").alias("at"), F.lit(False).alias("enters")))
+    tour = settle(hit.select("project_id", "node_id", "root", "id", "hit", F.inline(ends)).withColumn("chunk", F.floor(F.col("at") / CHUNK)))
+    opens = F.when(F.col("enters"), F.col("hit")).otherwise(-F.col("hit"))
+    entered = F.when(F.col("enters"), F.col("hit")).otherwise(0)
+    totals = tour.groupBy("root", "chunk").agg(F.sum(opens).alias("o"), F.sum(entered).alias("e"))
+    earlier = Window.partitionBy("root").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("root", "chunk", F.coalesce(F.sum("o").over(earlier), F.lit(0)).alias("o"), F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("e"))
+    inside = Window.partitionBy("root", "chunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = tour.withColumn("open", F.coalesce(F.sum(opens).over(inside), F.lit(0))).withColumn("met", F.coalesce(F.sum(entered).over(inside), F.lit(0))).join(before, ["root", "chunk"])
+    open_, met = F.col("open") + F.col("o"), F.col("met") + F.col("e")
+    nodes = counted.groupBy("id", "project_id", "node_id", "hit").agg(F.max(F.when(F.col("enters"), open_)).alias("open"), F.max(F.when(F.col("enters"), met)).alias("start"), F.max(F.when(~F.col("enters"), met)).alias("end"))
+    shown = F.when(F.col("hit") == 1, "match").when(F.col("open") > 0, "below").when(F.col("end") > F.col("start"), "above")
+    return nodes.select("project_id", "node_id", shown.alias("shown")).filter("shown is not null")

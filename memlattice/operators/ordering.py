@@ -13,21 +13,24 @@ def _edges(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     return settle(needs.join(known, "needed", "left_semi").select("id", "needed").distinct())
 
 
-def _peeled(edges: DataFrame, end: str, other: str) -> tuple[DataFrame, DataFrame | None]:
-    """(what is left of ``edges`` when rows whose ``other`` is nowhere an ``end`` are taken off until none is; the ends that lost
-    their last row: id, round). A round writes the edges that are left and appends the ends that are free to one table."""
-    free, at = None, 0
+def _peeled(edges: DataFrame, end: str, other: str, tell: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(what is left of ``edges`` when rows whose ``other`` is nowhere an ``end`` are taken off until none is; with ``tell`` the ends
+    that lost their last row: id, round). A round writes the edges that are left and appends the ends that are free to one table."""
+    free, at, n = None, 0, edges.count()
     while True:
         ends = edges.select(F.col(end).alias(other)).distinct()
         left = settle(edges.join(ends, other, "left_semi").select("id", "needed"))
-        at += 1
-        lost = edges.select(F.col(end).alias("end")).distinct().join(left.select(F.col(end).alias("end")), "end", "left_anti").select(F.col("end").alias("id"), F.lit(at).alias("round"))
-        if left.count() == edges.count():
+        at, before, n = at + 1, n, left.count()
+        if n == before:
             discard(left)
             return edges, free
-        free = append(lost, free)
+        if tell:
+            lost = edges.select(F.col(end).alias("end")).distinct().join(left.select(F.col(end).alias("end")), "end", "left_anti").select(F.col("end").alias("id"), F.lit(at).alias("round"))
+            free = append(lost, free)
         discard(edges)
         edges = left
+        if not n:
+            return edges, free
 
 
 def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     nodes = nodes.select("id").distinct()
     edges = _edges(nodes, needs)
     started = settle(edges.select("id").distinct())
-    left, free = _peeled(edges, "id", "needed")
+    left, free = _peeled(edges, "id", "needed", tell=True)
     told = nodes.join(started, "id", "left_anti").select("id", F.lit(0).alias("level"))
     if free is not None:
         told = told.unionByName(free.select("id", F.col("round").alias("level")))
