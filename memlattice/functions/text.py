@@ -83,6 +83,15 @@ def truncated(c: Column | str, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.rtrim(F.substring(text, 1, width - 3)), F.lit("..."))).otherwise(text)
 
 
+def within_bytes(c: Column | str, most: int, mark: str) -> Column:
+    """The text, or what fits into ``most`` bytes of it and the mark; a character is never cut. UTF-8 bytes 80 to BF continue a character."""
+    raw = F.encode(_col(c), "UTF-8")
+    head = F.hex(F.substring(raw, 1, most))
+    after = F.hex(F.substring(raw, most + 1, 1))
+    cut = F.when(after.rlike("^[89AB]"), F.regexp_replace(head, "(?:[CDEF].)(?:[89AB].)*$", "")).otherwise(head)
+    return F.when(F.octet_length(_col(c)) <= most, _col(c)).otherwise(F.concat(F.decode(F.unhex(cut), "UTF-8"), F.lit(mark)))
+
+
 def redacted(c: Column | str) -> Column:
     """The text with everything that looks like a secret masked."""
     out = _col(c)

@@ -376,6 +376,17 @@ def path_concepts(spark: SparkSession, d: str) -> DataFrame:
     return top.select("project_id", "term", "score", "n_files", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(None)
+def unshadowed_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """The concepts of ``path_concepts`` without single words that stand in a compound of their project."""
+    concepts = settle(path_concepts(spark, d))
+    shadowed = concepts.filter(F.col("term").contains(" ")).select("project_id", F.explode(F.split("term", " ")).alias("term")).distinct()
+    return concepts.join(shadowed, ["project_id", "term"], "left_anti")
+
+
+REGISTRY.sql["unshadowed_concepts"] = f"with c as ({REGISTRY.sql['path_concepts']}) select * from c where contains(term, ' ') or not exists (select 1 from c o where o.project_id = c.project_id and contains(o.term, ' ') and list_contains(string_split(o.term, ' '), c.term))"
+
+
 _NUMBERS = "select project_id, try_cast(coalesce(report->'tree'->>'nodeCount', report->'tree'->>'node_count') as double) as n, try_cast(coalesce(report->'tree'->>'averageExplanationLength', report->'tree'->>'average_explanation_length') as double) as length from reports where json_type(report->'tree') = 'OBJECT'"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import paths, text
 
-#: Files of more bytes are not read.
+#: Files of more bytes are not read unless a caller sets another bound.
 MOST_BYTES = 512_000
 #: Bytes looked at to tell binary files from text.
 SNIFFED = 8_000
@@ -41,16 +41,17 @@ def is_binary(content: Column) -> Column:
     return pairs.contains("00 ") | (controls * 10 > F.octet_length(F.substring(content, 1, SNIFFED)) * 3)
 
 
-def scan(spark: SparkSession, folder: str, rules: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+def scan(spark: SparkSession, folder: str, rules: list[str] = (), most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(files: path, language, extension, content_hash, n_bytes, n_lines, is_test, text; skipped: path, reason) of a folder.
 
     Too large and empty files are left out by the source, before any byte is read; ignored, binary and too large files are told as skipped.
     """
+    most_bytes = MOST_BYTES if most_bytes is None else most_bytes
     root = re.sub("^file:/*", "/", folder).rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root), "")
-    large = raw.select(path.alias("path"), "length").filter(F.col("length") > MOST_BYTES).select("path", F.lit("too large").alias("reason"))
-    small = raw.filter(F.col("length") <= MOST_BYTES).select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
+    large = raw.select(path.alias("path"), "length").filter(F.col("length") > most_bytes).select("path", F.lit("too large").alias("reason"))
+    small = raw.filter(F.col("length") <= most_bytes).select(path.alias("path"), F.col("length").alias("n_bytes"), "content")
     reason = F.when(ignored(F.col("path"), list(rules)), "ignored").when(is_binary(F.col("content")), "binary")
     judged = small.withColumn("reason", reason)
     kept = judged.filter("reason is null").withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
@@ -59,13 +60,14 @@ def scan(spark: SparkSession, folder: str, rules: list[str] = ()) -> tuple[DataF
     return files, judged.filter("reason is not null").select("path", "reason").unionByName(large)
 
 
-def read_records(spark: SparkSession, folder: str, schema: StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(records, issues: path, message) of a folder of files with one JSON record each. Records that are no JSON or lack a
+def read_records(spark: SparkSession, folder: str, schema: StructType, required: list[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, issues: path, message) of a folder of files with one JSON record each, or one on each line (``lines``). Records that are no JSON or lack a
     required field become issues; a byte order mark is ignored, and further fields are tolerated."""
     broken = "_broken"
-    lines = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
-    content = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
-    parsed = lines.select("path", F.from_json(content, StructType([*schema.fields, StructField(broken, StringType())]), {"columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE"}).alias("r"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    files = reader.text(folder).select(F.col("_metadata.file_path").alias("path"), "value") if lines else reader.format("binaryFile").load(folder).select("path", F.col("content").cast("string").alias("value"))
+    content = F.regexp_replace("value", "^﻿", "")
+    parsed = files.select("path", F.from_json(content, StructType([*schema.fields, StructField(broken, StringType())]), {"columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE"}).alias("r"))
     missing = reduce(lambda a, b: a | b, (F.col(f"r.{f}").isNull() for f in required), F.lit(False))
     message = F.when(F.col(f"r.{broken}").isNotNull() | F.col("r").isNull(), "not a JSON record").when(missing, "a required field is missing")
     judged = parsed.withColumn("message", message)

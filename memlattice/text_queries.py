@@ -228,3 +228,146 @@ def secret_counts(spark: SparkSession, d: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(name).alias("pattern"), F.col(f"found.{name}").alias("n")) for name in T.SECRETS))
     counted = found.select("project_id", F.inline(each))
     return counted.groupBy("project_id", "pattern").agg(F.sum("n").alias("n_secrets"), F.count_if(F.col("n") > 0).alias("n_documents"))
+
+
+@query(r"""
+with b as (select doc_id, regexp_extract(text, '^(---\r?\n(.*\r?\n)*?---)(\r?\n|$)', 1) as head from documents), l as (select doc_id, unnest(string_split_regex(head, '\r?\n')) as line from b where head <> '')
+select doc_id, regexp_extract(line, '^([A-Za-z_]+):', 1) as field, trim(regexp_extract(line, '^[A-Za-z_]+: *(.*)$', 1), ' "') as value from l where regexp_matches(line, '^[A-Za-z_]+:')""")
+def frontmatter(spark: SparkSession, d: str) -> DataFrame:
+    """The fields that stand between dashes at the head of a document."""
+    head = F.regexp_extract("text", r"^(---\r?\n(?:[^\n]*\n)*?---)(?:\r?\n|$)", 1)
+    lines = _documents(spark, d).filter(F.col("text").startswith("---")).select("doc_id", F.explode(F.split(head, r"\r?\n")).alias("line"))
+    found = lines.filter(F.col("line").rlike("^[A-Za-z_]+:"))
+    return found.select("doc_id", F.regexp_extract("line", "^([A-Za-z_]+):", 1).alias("field"), F.btrim(F.regexp_extract("line", "^[A-Za-z_]+: *(.*)$", 1), F.lit(' "')).alias("value"))
+
+
+#: What lines of code tell, by language: the pattern and the group that names it.
+CODE_FACTS = {
+    "import": r"""(?m)^[ \t]*import\b[^"'\n]*["']([^"'\n]+)["']""",
+    "import_of": r"""\b(?:require|import)\(["']([^"'\n]+)["']\)""",
+    "reexport": r"""(?m)^[ \t]*export\b[^"'\n]*\bfrom ["']([^"'\n]+)["']""",
+    "python_import": r"(?m)^from ([A-Za-z_.]+) import ",
+    "rust_use": r"(?m)^[ \t]*(?:pub )?use ([A-Za-z_:]+)",
+    "go_package": r"(?m)^package ([a-z_]+)",
+    "export": r"(?m)^[ \t]*export (?:default )?(?:async )?(?:function|class|const|let|type|interface|enum) ([A-Za-z_$][A-Za-z0-9_$]*)",
+    "function": r"(?m)^[ \t]*(?:pub )?(?:async )?(?:function|def|fn|func) ([A-Za-z_$][A-Za-z0-9_$]*)",
+    "class": r"(?m)^[ \t]*(?:pub )?(?:abstract )?(?:class|struct|trait|interface|enum) ([A-Za-z_$][A-Za-z0-9_$]*)",
+    "binding": r"(?m)^[ \t]*import \{ *([A-Za-z_$][A-Za-z0-9_$]*)",
+}
+
+
+@query("with f as (" + " union all ".join("select doc_id, '{}' as fact, unnest(regexp_extract_all(text, '{}', 1)) as name from documents".format(k, v.replace("'", "''")) for k, v in CODE_FACTS.items()) + ") select fact, name, count(*) as n, count(distinct doc_id) as n_documents from f group by all")
+def code_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What the code in the documents imports, exports and defines, by a pattern per form; one pass over the texts."""
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _fact(k)) for k, p in CODE_FACTS.items())))
+    rows = _documents(spark, d).filter("text is not null").select("doc_id", F.inline(found))
+    return rows.groupBy("fact", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+def _fact(kind: str):
+    return lambda name: F.struct(F.lit(kind).alias("fact"), name.alias("name"))
+
+
+_SPECIFIERS = r"""regexp_extract_all(text, 'from ["'']([^"''\n]+)["'']', 1)"""
+
+
+@query(rf"""
+with s as (select doc_id, unnest({_SPECIFIERS}) as s from documents)
+select case when starts_with(s, '.') then 'relative' when contains(s, ':') then 'virtual' when regexp_matches(s, '\.(css|svg|png|json|md)$') then 'asset' else 'package' end as class,
+  case when starts_with(s, '.') or contains(s, ':') then null when starts_with(s, '@') then array_to_string(string_split(s, '/')[1:2], '/') else string_split(s, '/')[1] end as package, count(*) as n_imports, count(distinct doc_id) as n_documents from s group by all""")
+def import_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Imports by class of specifier and, for packages, by package: the first step, or the first two after an '@'."""
+    s = F.col("s")
+    found = _documents(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("""from ["']([^"'\\n]+)["']"""), F.lit(1))).alias("s"))
+    kind = F.when(s.startswith("."), "relative").when(s.contains(":"), "virtual").when(s.rlike(r"\.(css|svg|png|json|md)$"), "asset").otherwise("package")
+    steps = F.split(s, "/")
+    package = F.when(s.startswith(".") | s.contains(":"), F.lit(None).cast("string")).when(s.startswith("@"), F.array_join(F.slice(steps, 1, 2), "/")).otherwise(F.get(steps, F.lit(0)))
+    return found.groupBy(kind.alias("class"), package.alias("package")).agg(F.count(F.lit(1)).alias("n_imports"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+_LINK_KINDS = {
+    "inline": r"\[[^\]\n]*\]\(<?([^)> \n]+)>?[^)\n]*\)",
+    "reference": r"(?m)^ {0,3}\[[^\]\n]+\]: *<?([^> \n]+)>?",
+    "automatic": r"<((?:https?|mailto):[^> \n]+)>",
+    "path": r"((?:src|docs|scripts|packages)/[A-Za-z0-9_./-]*[A-Za-z0-9])",
+}
+
+
+@query("with f as (" + " union all ".join(f"select doc_id, '{k}' as kind, unnest(regexp_extract_all(text, '{p}', 1)) as target from documents" for k, p in _LINK_KINDS.items()) + """)
+select doc_id, kind, url_decode(regexp_replace(target, '[?#].*$', '')) as target, count(*) as n from f where regexp_replace(target, '[?#].*$', '') <> '' group by all""")
+def link_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What the documents link to or name as a path, without anchors and queries, percent signs resolved (kept as they are where they
+    can't be); a plus sign stays one."""
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _link(k)) for k, p in _LINK_KINDS.items())))
+    rows = _documents(spark, d).filter("text is not null").select("doc_id", F.inline(found)).withColumn("target", F.regexp_replace("target", "[?#].*$", "")).filter("target <> ''")
+    decoded = F.coalesce(F.try_url_decode(F.replace("target", F.lit("+"), F.lit("%2B"))), F.col("target"))
+    return rows.groupBy("doc_id", "kind", decoded.alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _link(kind: str):
+    return lambda target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
+
+
+_FILES_KNOWN = f"""known as (select distinct trim(project_id, {_BLANKS}) as project_id, trim(f, {_BLANKS}) as path from (select project_id, unnest(files_changed) as f from change_records) union select distinct trim(project_id, {_BLANKS}), trim(f, {_BLANKS}) from (select project_id, unnest(source_files) as f from tree_nodes))"""
+
+
+@query(rf"""with {_FILES_KNOWN}, m as (select distinct doc_id, trim(project_id, {_BLANKS}) as project_id, unnest(regexp_extract_all(text, '(src|docs|scripts|packages)/[A-Za-z0-9_./-]*[A-Za-z0-9]')) as path from documents)
+select project_id, path, count(*) as n_documents from m where not exists (select 1 from known k where k.project_id = m.project_id and k.path = m.path) group by all""")
+def unknown_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Files that documents name but no change and no node of their project knows."""
+    docs = _documents(spark, d).select("doc_id", "project_id")
+    mentioned = file_mentions(spark, d).join(docs, "doc_id").select("project_id", "path", "doc_id")
+    changed = read_table(spark, d, "change_records").select(clean_id("project_id").alias("project_id"), F.explode("files_changed").alias("path"))
+    owned = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), F.explode("source_files").alias("path"))
+    known = changed.unionByName(owned).select("project_id", clean_id("path").alias("path")).distinct()
+    return mentioned.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n_documents")).join(known, ["project_id", "path"], "left_anti")
+
+
+@query(rf"""with {_FILES_KNOWN}, h as (select doc_id, trim(project_id, {_BLANKS}) as project_id, regexp_extract(text, '((src|packages)/[A-Za-z0-9_./-]*\.tsx?)', 1) as home, {_SPECIFIERS} as specifiers from documents),
+s as (select distinct doc_id, project_id, regexp_replace(home, '[^/]+$', '') as folder, unnest(specifiers) as specifier from h where home <> ''), c as (select *, regexp_replace(folder || specifier, '/\./', '/', 'g') as base from s where starts_with(specifier, './')),
+t as (select doc_id, specifier, project_id, unnest(['.ts', '.tsx', '.mjs', '/index.ts']) as ending, generate_subscripts(['.ts', '.tsx', '.mjs', '/index.ts'], 1) as place, base from c),
+r as (select doc_id, specifier, arg_min(base || ending, place) as target from t join known k on k.project_id = t.project_id and k.path = base || ending group by all)
+select c.doc_id, c.specifier, c.base, target, case when target is null then 'unresolved' else 'resolved' end as outcome from c left join r using (doc_id, specifier)""")
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Relative imports of the code in a document, seen from the first source file it names: each is tried with the known endings in
+    turn against the files of the project, by equality; the first that exists is its target."""
+    text = _documents(spark, d).filter("text is not null")
+    home = F.regexp_extract("text", r"((?:src|packages)/[A-Za-z0-9_./-]*\.tsx?)", 1)
+    specifiers = F.array_distinct(F.regexp_extract_all("text", F.lit("""from ["']([^"'\\n]+)["']"""), F.lit(1)))
+    found = text.select("doc_id", "project_id", home.alias("home"), F.explode(specifiers).alias("specifier")).filter((F.col("home") != "") & F.col("specifier").startswith("./"))
+    base = F.regexp_replace(F.concat(F.regexp_replace("home", "[^/]+$", ""), F.col("specifier")), r"/\./", "/")
+    based = found.select("doc_id", "project_id", "specifier", base.alias("base"))
+    tried = based.select("doc_id", "project_id", "specifier", F.posexplode(F.array(*(F.concat("base", F.lit(e)) for e in (".ts", ".tsx", ".mjs", "/index.ts")))).alias("place", "path"))
+    changed = read_table(spark, d, "change_records").select(clean_id("project_id").alias("project_id"), F.explode("files_changed").alias("path"))
+    owned = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), F.explode("source_files").alias("path"))
+    known = changed.unionByName(owned).select("project_id", clean_id("path").alias("path")).distinct()
+    hits = tried.join(known, ["project_id", "path"]).groupBy("doc_id", "specifier").agg(F.min_by("path", "place").alias("target"))
+    outcome = F.when(F.col("target").isNull(), "unresolved").otherwise("resolved")
+    return based.drop("project_id").join(hits, ["doc_id", "specifier"], "left").withColumn("outcome", outcome)
+
+
+@query(rf"""with p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\r?\n[ \t]*\r?\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: regexp_matches(x, '^[A-Za-z“]') and not contains(x, '```')) as prose from documents where lower(trim(source, {_BLANKS})) = 'readmes' and text is not null)
+select doc_id, case when length(s) > 600 then rtrim(substring(s, 1, 597)) || '...' else s end as summary from (select doc_id, array_to_string(prose[1:2], ' ') as s from p) where s <> ''""")
+def readme_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The first two paragraphs of prose of every readme, cut to 600 characters."""
+    paragraphs = F.transform(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
+    prose = F.filter(paragraphs, lambda x: x.rlike("^[A-Za-z“]") & ~x.contains("```"))
+    docs = _documents(spark, d).filter(F.lower(clean_id("source")) == "readmes").filter("text is not null")
+    return docs.select("doc_id", F.array_join(F.slice(prose, 1, 2), " ").alias("s")).filter("s <> ''").select("doc_id", T.truncated("s", 600).alias("summary"))
+
+
+@query(r"""with c as (select doc_id, octet_length(encode(text)) as n_bytes, substring(text, 1, 200) as s, text from documents where text is not null),
+k as (select *, list_transform(range(1, length(s) + 1), lambda i: octet_length(encode(substring(s, 1, i)))) as sums from c)
+select doc_id, cast(n_bytes as bigint) as n_bytes, case when n_bytes <= 200 then text else substring(s, 1, len(list_filter(sums, lambda x: x <= 200))) || ' [cut]' end as excerpt from k""")
+def byte_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 bytes of every text, never cutting a character, with a mark where something was left out."""
+    docs = _documents(spark, d).filter("text is not null").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
+    return docs.select("doc_id", "n_bytes", T.within_bytes("text", 200, " [cut]").alias("excerpt"))
+
+
+@query(f"""with n as (select distinct trim(project_id, {_BLANKS}) as project_id, trim(node_id, {_BLANKS}) as node_id from tree_nodes)
+select project_id, node_id, array_to_string(list_transform(string_split_regex(node_id, '[-_.]+'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as title from n where node_id <> ''""")
+def titled_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of nodes as titles, for nodes that have none of their own."""
+    ids = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), clean_id("node_id").alias("node_id")).filter("node_id is not null").distinct()
+    return ids.select("project_id", "node_id", T.titled("node_id").alias("title"))
