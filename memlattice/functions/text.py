@@ -109,6 +109,15 @@ def secrets_found(c: Column | str) -> Column:
     return F.struct(*counts)
 
 
+def numstat(line: Column | str) -> Column:
+    """Struct added, deleted, path, binary of a line 'added TAB deleted TAB path'; a dash counts 0 lines of a binary file. Null for other lines."""
+    parts = F.split(_col(line), "\t", 3)
+    number = lambda i: F.when(F.get(parts, F.lit(i)) == "-", F.lit(0)).otherwise(F.get(parts, F.lit(i)).try_cast("bigint"))
+    dash = (F.get(parts, F.lit(0)) == "-") | (F.get(parts, F.lit(1)) == "-")
+    fits = _col(line).rlike(r"^(-|\d+)\t(-|\d+)\t[^\t]")
+    return F.when(fits, F.struct(number(0).cast("bigint").alias("added"), number(1).cast("bigint").alias("deleted"), F.get(parts, F.lit(2)).alias("path"), dash.alias("binary")))
+
+
 def fingerprint(c: Column | str) -> Column:
     """What stays of a note without its heading, fenced blocks, markup, case and spacing; equal for notes that say the same."""
     plain = F.regexp_replace(F.regexp_replace(_col(c), r"(?im)^#+\s*lesson\s*$", ""), r"(?s)```.*?```", " ")

@@ -358,3 +358,56 @@ def node_references(spark: SparkSession, d: str) -> DataFrame:
     files = live.select("project_id", "node_id", F.lit("file").alias("kind"), F.explode(clean_paths("source_files")).alias("ref"))
     kind = lambda k: F.count_if(F.col("kind") == k)
     return files.unionByName(around).groupBy("project_id", "node_id").agg(F.count(F.lit(1)).alias("n_refs"), kind("file").alias("n_files"), kind("child").alias("n_children"))
+
+
+#: A folder with at least so many files of its own is a root.
+ROOT_FILES = 3
+
+
+@query(f"""with {_FILES}, p as (select distinct project_id, path, regexp_extract(path, '^(.*)/', 1) as folder from files where path is not null), r as (select project_id, folder as root from p where folder <> '' group by all having count(*) >= {ROOT_FILES}),
+m as (select p.project_id, path, max_by(root, length(root)) as root from p left join r on r.project_id = p.project_id and starts_with(path, root || '/') group by all)
+select project_id, coalesce(root, '') as root, count(*) as n_files, cast(max(length(path) - length(coalesce(root, ''))) as bigint) as longest from m group by all""")
+def folder_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Changed files under the longest root above them, where the roots are the folders with three files or more of their own: each
+    file's folders meet the roots by equality."""
+    files = settle(_changed_files(spark, d).select("project_id", "path").distinct())
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    roots = files.groupBy("project_id", folder.alias("root")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ROOT_FILES).filter("root <> ''").select("project_id", "root")
+    steps = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    above = files.select("project_id", "path", F.explode(prefixes).alias("root")).filter("root <> path").join(roots, ["project_id", "root"])
+    longest = above.groupBy("project_id", "path").agg(F.max_by("root", F.length("root")).alias("root"))
+    placed = files.join(longest, ["project_id", "path"], "left").withColumn("root", F.coalesce("root", F.lit("")))
+    return placed.groupBy("project_id", "root").agg(F.count(F.lit(1)).alias("n_files"), F.max(F.length("path") - F.length("root")).cast("bigint").alias("longest"))
+
+
+@query(f"""with {_FILES}, l as (select change_id, length(path) as added, case when path like '%.md' then 0 else length(regexp_extract(path, '[^/]+$')) end as deleted, path like '%.md' as is_binary from files where path is not null)
+select change_id, count(*) as n_files, cast(sum(added) as bigint) as n_added, cast(sum(deleted) as bigint) as n_deleted, cast(sum(added + deleted) as bigint) as n_changed, count(*) filter (where is_binary) as n_binary from l group by change_id""")
+def numstat_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Changed lines per change from lines as version control prints them ('added TAB deleted TAB path', '-' for binary files); the tables
+    have no line counts, so the lengths of path and name stand for them."""
+    path = F.col("path")
+    deleted = F.when(path.endswith(".md"), F.lit("-")).otherwise(F.length(P.base_name(path)).cast("string"))
+    lines = _changed_files(spark, d).select("change_id", F.concat_ws("\t", F.length(path).cast("string"), deleted, path).alias("line"))
+    parsed = lines.select("change_id", T.numstat("line").alias("x")).select("change_id", "x.*")
+    return parsed.groupBy("change_id").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("added").alias("n_added"), F.sum("deleted").alias("n_deleted"), F.sum(F.col("added") + F.col("deleted")).alias("n_changed"), F.count_if("binary").alias("n_binary")
+    )
+
+
+#: What imports of a package may be written as: the longest prefix that fits holds, and its rest goes to the folder.
+ALIASES = (("@app/", "packages/app/src/"), ("@/", "src/"), ("~/", "src/"), ("", "packages/"))
+
+
+@query(f"""with {_FILES}, p as (select distinct project_id, path from files where path is not null), s as (select project_id, path, unnest([regexp_replace(path, '^src/', '@/'), regexp_replace(path, '^packages/', ''), path]) as specifier from p where regexp_matches(path, '^(src|packages)/.*\\.tsx?$')),
+a as (select * from (values {', '.join(f"('{x}', '{y}')" for x, y in ALIASES)}) as t(prefix, folder)), c as (select distinct project_id, specifier, prefix, folder || substring(specifier, length(prefix) + 1) as target from s join a on starts_with(specifier, prefix) where specifier not like 'src/%' and specifier not like 'packages/%'),
+b as (select project_id, specifier, arg_max(target, length(prefix)) as target from c group by all)
+select b.project_id, specifier, target, p.path is not null as known from b left join p on p.project_id = b.project_id and p.path = b.target""")
+def aliased_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Files spelled as imports write them, resolved by alias rules: the most specific rule holds, and its target is met with the files of the project."""
+    files = settle(_changed_files(spark, d).select("project_id", "path").distinct())
+    path = F.col("path")
+    spelled = F.array(F.regexp_replace(path, "^src/", "@/"), F.regexp_replace(path, "^packages/", ""))
+    asked = files.filter(path.rlike(r"^(src|packages)/.*\.tsx?$")).select("project_id", F.explode(spelled).alias("specifier")).filter(~F.col("specifier").rlike("^(src|packages)/")).distinct()
+    target = F.coalesce(*(F.when(F.col("specifier").startswith(x), F.concat(F.lit(y), F.substring("specifier", len(x) + 1, 1 << 20))) for x, y in sorted(ALIASES, key=lambda a: -len(a[0]))))
+    return asked.withColumn("target", target).join(files.select("project_id", path.alias("target"), F.lit(True).alias("known")), ["project_id", "target"], "left").na.fill(False, ["known"])

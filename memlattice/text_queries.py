@@ -371,3 +371,49 @@ def titled_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of nodes as titles, for nodes that have none of their own."""
     ids = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), clean_id("node_id").alias("node_id")).filter("node_id is not null").distinct()
     return ids.select("project_id", "node_id", T.titled("node_id").alias("title"))
+
+
+_ANY_PATH = r"[A-Za-z0-9_.@-]+(?:/[A-Za-z0-9_.@-]+)*\.[A-Za-z0-9]+"
+
+
+@query(rf"""with {_FILES_KNOWN}, m as (select distinct doc_id, trim(project_id, {_BLANKS}) as project_id, unnest(regexp_extract_all(text, '{_ANY_PATH}')) as path from documents)
+select m.project_id, m.path, count(*) as n_documents from m join known k on k.project_id = m.project_id and k.path = m.path group by all""")
+def known_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a project that its documents name, in any folder and with any ending: everything in the texts that could be a path meets the known files by equality."""
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({_ANY_PATH})"), F.lit(1)))
+    mentioned = _documents(spark, d).select("project_id", F.explode(named).alias("path")).groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n_documents"))
+    return mentioned.join(_known_files(spark, d), ["project_id", "path"], "left_semi")
+
+
+def _known_files(spark: SparkSession, d: str) -> DataFrame:
+    changed = read_table(spark, d, "change_records").select(clean_id("project_id").alias("project_id"), F.explode("files_changed").alias("path"))
+    owned = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), F.explode("source_files").alias("path"))
+    return changed.unionByName(owned).select("project_id", clean_id("path").alias("path")).distinct()
+
+
+_DOTTED = r"[A-Za-z0-9_]+(?:[.-][A-Za-z0-9_]+)+"
+
+
+@query(rf"""with n as (select distinct trim(project_id, {_BLANKS}) as project_id, trim(node_id, {_BLANKS}) as node_id from tree_nodes), m as (select distinct doc_id, trim(project_id, {_BLANKS}) as project_id, unnest(regexp_extract_all(text, '{_DOTTED}')) as node_id from documents)
+select m.project_id, m.node_id, count(*) as n_documents from m join n on n.project_id = m.project_id and n.node_id = m.node_id group by all""")
+def known_node_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents of a project each of its nodes is named, whatever its id looks like: all dotted words of the texts meet the ids by equality."""
+    named = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({_DOTTED})"), F.lit(1)))
+    mentioned = _documents(spark, d).select("project_id", F.explode(named).alias("node_id")).groupBy("project_id", "node_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    nodes = read_table(spark, d, "tree_nodes").select(clean_id("project_id").alias("project_id"), clean_id("node_id").alias("node_id")).distinct()
+    return mentioned.join(nodes, ["project_id", "node_id"], "left_semi")
+
+
+_OUTCOMES = {"heading": r"(?im)^#+ *result: *([a-z-]+)", "sentence": r"(?i)\brun [0-9]+ ended as ([a-z-]+)", "field": r"(?im)^(?:result|status|outcome): *([a-z-]+)"}
+
+
+@query("with f as (" + " union all ".join(f"select project_id, doc_id, '{k}' as form, unnest(regexp_extract_all(text, '{p}', 1)) as outcome from documents" for k, p in _OUTCOMES.items()) + f") select trim(project_id, {_BLANKS}) as project_id, form, lower(outcome) as outcome, count(*) as n_runs, count(distinct doc_id) as n_documents from f group by all")
+def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How runs ended by what the documents of each project tell, as a heading, a field or a sentence."""
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _outcome(k)) for k, p in _OUTCOMES.items())))
+    rows = _documents(spark, d).filter("text is not null").select("project_id", "doc_id", F.inline(found))
+    return rows.groupBy("project_id", "form", F.lower("outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+def _outcome(form: str):
+    return lambda outcome: F.struct(F.lit(form).alias("form"), outcome.alias("outcome"))

@@ -104,3 +104,10 @@ def test_concepts_whose_ids_clash(spark, tmp_path):
     assert rows("folded_duplicates") == {("p", "core.a", 2)}
     assert rows("colliding_slugs") == {("p", "one.two", 2, "Core.a")}
     assert rows("contradictory_areas") == {("c", "p", "docs")}
+
+
+def test_numstat_lines(spark):
+    lines = ["36\t4\ta/b.ts", "-\t-\timg.png", "1\t2", "x\t1\ty", "", None, "0\t7\todd\tname"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, x string")
+    got = [r.y and tuple(r.y) for r in df.select("i", X.numstat("x").alias("y")).orderBy("i").collect()]
+    assert got == [(36, 4, "a/b.ts", False), (0, 0, "img.png", True), None, None, None, None, (0, 7, "odd\tname", False)]
