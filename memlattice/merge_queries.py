@@ -411,3 +411,58 @@ def aliased_imports(spark: SparkSession, d: str) -> DataFrame:
     asked = files.filter(path.rlike(r"^(src|packages)/.*\.tsx?$")).select("project_id", F.explode(spelled).alias("specifier")).filter(~F.col("specifier").rlike("^(src|packages)/")).distinct()
     target = F.coalesce(*(F.when(F.col("specifier").startswith(x), F.concat(F.lit(y), F.substring("specifier", len(x) + 1, 1 << 20))) for x, y in sorted(ALIASES, key=lambda a: -len(a[0]))))
     return asked.withColumn("target", target).join(files.select("project_id", path.alias("target"), F.lit(True).alias("known")), ["project_id", "target"], "left").na.fill(False, ["known"])
+
+
+_PACKAGES = f"""{_FILES}, p as (select distinct project_id, path, regexp_extract(path, '^(packages/([^/]+))/', 1) as root, regexp_extract(path, '^packages/([^/]+)/', 1) as name from files where path is not null)"""
+
+
+def _packages(spark: SparkSession, d: str) -> DataFrame:
+    """project_id, path, root, name of the changed files under a package."""
+    files = _changed_files(spark, d).select("project_id", "path").distinct()
+    pattern = "^(packages/([^/]+))/"
+    return files.select("project_id", "path", F.regexp_extract("path", pattern, 1).alias("root"), F.regexp_extract("path", pattern, 2).alias("name")).filter("root <> ''")
+
+
+@query(f"""with {_PACKAGES}, r as (select *, case when regexp_matches(path, '/index\\.[a-z]+$') then 0 when regexp_matches(path, '\\.(test|spec)\\.[a-z]+$') then 3 when regexp_matches(path, '\\.md$') then 2 else 1 end as rank from p where root <> '')
+select project_id, root, arg_min(path, (rank, path)) as entry, count(*) as n_files from r group by all""")
+def package_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The file that stands for each package: an index before ordinary files, these before documents and tests, the first by name among equals."""
+    path = F.col("path")
+    rank = F.when(path.rlike(r"/index\.[a-z]+$"), 0).when(path.rlike(r"\.(test|spec)\.[a-z]+$"), 3).when(path.rlike(r"\.md$"), 2).otherwise(1)
+    return _packages(spark, d).groupBy("project_id", "root").agg(F.min_by("path", F.struct(rank, path)).alias("entry"), F.count(F.lit(1)).alias("n_files"))
+
+
+_ENDINGS = (".ts", ".tsx", ".mjs", "/index.ts")
+
+
+@query(f"""with {_PACKAGES}, n as (select distinct project_id, name, root from p where root <> ''), s as (select distinct p.project_id, '@here/' || name || regexp_replace(substring(path, length(root) + 1), '\\.[^/.]+$', '') as specifier, name, regexp_replace(substring(path, length(root) + 1), '\\.[^/.]+$', '') as rest from p where root <> ''),
+c as (select s.project_id, specifier, root || rest as base from s join n on n.project_id = s.project_id and n.name = s.name), t as (select c.*, unnest({list(_ENDINGS)}) as ending, unnest(range(1, 5)) as place from c)
+select t.project_id, specifier, arg_min(t.base || ending, place) as target from t join p on p.project_id = t.project_id and p.path = t.base || ending group by all""")
+def workspace_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of a project's own packages by name ('@here/<package>/<path without ending>', as other packages would write them): the
+    package is met by its name, then the known endings are tried in turn and the first file that exists is the target."""
+    files = settle(_packages(spark, d))
+    packages = files.select("project_id", "name", "root").distinct()
+    rest = F.regexp_replace(F.expr("substring(path, length(root) + 1)"), r"\.[^/.]+$", "")
+    asked = files.select("project_id", F.concat(F.lit("@here/"), F.col("name"), rest).alias("specifier")).distinct()
+    steps = F.split("specifier", "/")
+    named = asked.select("project_id", "specifier", F.get(steps, F.lit(1)).alias("name"), F.array_join(F.slice(steps, 3, F.size(steps)), "/").alias("rest")).join(packages, ["project_id", "name"])
+    tried = named.select("project_id", "specifier", F.posexplode(F.array(*(F.concat("root", F.lit("/"), F.col("rest"), F.lit(e)) for e in _ENDINGS))).alias("place", "path"))
+    return tried.join(files.select("project_id", "path"), ["project_id", "path"]).groupBy("project_id", "specifier").agg(F.min_by("path", "place").alias("target"))
+
+
+@query(f"""with {_FILES}, k as (select distinct project_id, regexp_extract(path, '^(.*)/', 1) as folder from files where path like '%/%'), a as (select distinct contract_id, project_id, {_PATH.format('f')} as path from (select *, unnest(allowed_files) as f from {_SC})),
+m as (select contract_id, path, max_by(folder, length(folder)) as folder from a left join k on k.project_id = a.project_id and starts_with(path, folder || '/') where path is not null group by all)
+select contract_id, path, folder, coalesce(len(string_split(folder, '/')), 0) as n_steps from m""")
+def nearest_folders(spark: SparkSession, d: str) -> DataFrame:
+    """For each file a contract allows the deepest folder above it in which anything was changed: its prefixes, longest first, meet the folders by equality."""
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    known = _changed_files(spark, d).select("project_id", folder.alias("folder")).filter("folder <> ''").distinct()
+    rows = newest(read_table(spark, d, "scope_contracts"), {"contract_id": clean_id("contract_id")}, "ingested_at", {"project_id": clean_id("project_id"), "allowed_files": F.col("allowed_files")})
+    files = settle(rows.select("contract_id", "project_id", F.explode(clean_paths("allowed_files")).alias("path")))
+    steps = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    above = files.select("contract_id", "project_id", "path", F.explode(prefixes).alias("folder")).filter("folder <> path").join(known, ["project_id", "folder"])
+    deepest = above.groupBy("contract_id", "path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
+    out = files.select("contract_id", "path").join(deepest, ["contract_id", "path"], "left")
+    return out.withColumn("n_steps", F.coalesce(F.size(F.split("folder", "/")).cast("bigint"), F.lit(0)))
