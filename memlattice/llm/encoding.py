@@ -81,6 +81,7 @@ class Codec:
         self.letters = byte_characters()
         self.known: dict[str, list[int]] = {}
         self.by_letter = {c: b for b, c in enumerate(self.letters)}
+        self.pieces: list[bytes] | None = None
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts; null and empty texts have no ids. Every text is encoded whole; pre-tokens are held for
@@ -119,8 +120,10 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids. Bytes that are no UTF-8, as part of a character may be cut off, become U+FFFD."""
-        letters = "".join(self.processor.id_to_piece(int(i)) for i in ids)
-        return bytes(self.by_letter[c] for c in letters).decode("utf-8", "replace")
+        if self.pieces is None:
+            size = self.processor.get_piece_size() - 1  # the last piece is the unknown one
+            self.pieces = [bytes(map(self.by_letter.__getitem__, self.processor.id_to_piece(i))) for i in range(size)]
+        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_id
-from ..plans.settle import broadcast_if_small, settle
+from ..plans.settle import broadcast_if_small, discard, settle
 from .encoding import VOCABULARY, token_counts
 
 #: Tokens per block.
@@ -83,27 +83,37 @@ def _placed(sized: DataFrame, seed: int) -> DataFrame:
     return started.join(offsets, ["source", "bucket"]).withColumn("start", F.col("offset") + F.col("inside")).drop("order", "bucket", "offset", "inside")
 
 
-def _made_up(drawn: DataFrame, quotas: DataFrame, block_tokens: int, seed: int) -> DataFrame:
-    """``drawn`` (settled: doc_id, source, n_tokens, copies, max_repeats) with one copy more or less of a few documents, so that each
-    source meets its quota of tokens within less than the smallest document looked at.
-
-    Of each source SPARE documents of each size are looked at, largest first; one is taken if it is no larger than what is
-    still missing (or too much). So few rows per source meet, and no document goes below none or above its cap.
-    """
+def fitting(drawn: DataFrame, quotas: DataFrame, block_tokens: int) -> DataFrame:
+    """The documents of ``drawn`` (doc_id, source, n_tokens, copies, max_repeats) of which one copy more, or less, would bring their
+    source nearer to its quota without passing it; off is what the source is short of (or, below 0, over)."""
     have = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("have"))
     most = F.when(F.col("max_repeats").isNull(), F.col("quota") * block_tokens).otherwise(F.least(F.col("quota") * block_tokens, F.greatest("max_repeats", F.lit(0)) * F.col("source_tokens")))
     off = quotas.join(F.broadcast(have), "source").select("source", (most - F.col("have")).alias("off"))
     short = (F.col("off") > 0) & (F.col("max_repeats").isNull() | (F.col("copies") < F.col("max_repeats")))
-    fits = F.col("n_tokens").between(1, F.abs("off")) & (short | ((F.col("off") < 0) & (F.col("copies") > 0)))
-    spare = drawn.join(F.broadcast(off), "source").filter(fits).withColumn("size", F.floor(F.log2("n_tokens")))
-    order = Window.partitionBy("source", "size").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    few = spare.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SPARE)
-    queue = few.groupBy("source", "off").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "doc_id")), asc=False).alias("queue"))
-    start = F.struct(F.abs("off").alias("left"), F.slice(F.transform("queue", lambda q: q["doc_id"]), 1, 0).alias("ids"))
-    step = lambda s, q: F.when(q["n_tokens"] <= s["left"], F.struct((s["left"] - q["n_tokens"]).alias("left"), F.concat(s["ids"], F.array(q["doc_id"])).alias("ids"))).otherwise(s)
-    chosen = queue.select(F.signum("off").cast("bigint").alias("more"), F.explode(F.aggregate("queue", start, step)["ids"]).alias("doc_id"))
-    changed = drawn.join(broadcast_if_small(settle(chosen)), "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-    return changed.select("doc_id", "source", "n_tokens", "copies")
+    return drawn.join(F.broadcast(off), "source").filter(F.col("n_tokens").between(1, F.abs("off")) & (short | ((F.col("off") < 0) & (F.col("copies") > 0))))
+
+
+def _made_up(drawn: DataFrame, quotas: DataFrame, block_tokens: int, seed: int) -> DataFrame:
+    """``drawn`` (settled) with one copy more or less of a few documents, until no document could bring its source nearer to its quota.
+
+    In a round SPARE documents of each source and size are looked at, largest first; one is taken if it is no larger than what
+    is still missing (or too much). So few rows per source meet, and no document goes below none or above its cap. Every
+    round takes the largest that fits, so what is missing shrinks to less than the smallest document in a few rounds.
+    """
+    while True:
+        spare = fitting(drawn, quotas, block_tokens).withColumn("size", F.floor(F.log2("n_tokens")))
+        order = Window.partitionBy("source", "size").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+        few = spare.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SPARE)
+        queue = few.groupBy("source", "off").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "doc_id")), asc=False).alias("queue"))
+        start = F.struct(F.abs("off").alias("left"), F.slice(F.transform("queue", lambda q: q["doc_id"]), 1, 0).alias("ids"))
+        step = lambda s, q: F.when(q["n_tokens"] <= s["left"], F.struct((s["left"] - q["n_tokens"]).alias("left"), F.concat(s["ids"], F.array(q["doc_id"])).alias("ids"))).otherwise(s)
+        chosen = settle(queue.select(F.signum("off").cast("bigint").alias("more"), F.explode(F.aggregate("queue", start, step)["ids"]).alias("doc_id")))
+        if chosen.isEmpty():
+            return drawn
+        changed = drawn.join(broadcast_if_small(chosen), "doc_id", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+        once = settle(changed.select(drawn.columns))
+        discard(drawn)
+        drawn = once
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +122,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, block_tokens:
     The mix has about as many tokens as all documents of the sources of ``targets`` that have documents. copies is 0 for
     documents that are not drawn, and at most max_repeats (null: no limit; below 0 counts as 0). A null or negative target
     share is no share. Targets whose cap or lack of documents leaves tokens over pass these on to the others in proportion
-    to their shares. Every source meets its quota within less than a small document. Documents of other or null sources are left out; null and empty texts have no tokens and are drawn
+    to their shares. Every source meets its quota so nearly that no document more or less would bring it nearer without passing it. Documents of other or null sources are left out; null and empty texts have no tokens and are drawn
     with the block they fall in. Spellings of a source that differ in case, outer blanks or separators are one; of several
     targets of one source the largest share and the largest cap hold. doc_id must be unique.
     """
@@ -144,7 +154,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, block_tokens:
     takes = F.when(shard >= F.col("shards"), F.col("last")).otherwise(F.col("each") + F.when(shard < F.col("more"), 1).otherwise(0))
     copies = F.col("full") + F.when(F.pmod(block, F.lit(SHARD_BLOCKS)) < takes, 1).otherwise(0)
     drawn = settle(placed.select("doc_id", "source", "n_tokens", F.coalesce(copies, F.lit(0)).cast("bigint").alias("copies"), "max_repeats"))
-    drawn = settle(_made_up(drawn, spark.createDataFrame(rows, plan), block_tokens, seed))
+    drawn = _made_up(drawn, spark.createDataFrame(rows, plan), block_tokens, seed).drop("max_repeats")
     reached = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_documents"))
     told = spark.createDataFrame(rows, plan).join(F.broadcast(reached), "source", "left").na.fill(0, ["mixed_tokens", "most_copies", "n_documents"])
     told = told.withColumn("all_tokens", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))  # a row per source

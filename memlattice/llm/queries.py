@@ -76,13 +76,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_checked(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of the mix: per source its documents, no document beyond max_repeats, and the quota met within a hundredth
-    of it or, where all copies allowed are in, missed from below."""
-    shares = p7_shares(spark, d)
+    """What must hold of the mix: per source its documents, no document beyond max_repeats, and none of which a copy more or less
+    would bring the source nearer to its quota without passing it."""
+    drawn, shares = mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
     within = F.col("max_repeats").isNull() | (F.col("most_copies") <= F.greatest("max_repeats", F.lit(0)))
-    full = F.col("mixed_tokens") >= F.greatest("max_repeats", F.lit(0)) * F.col("source_tokens")
-    near = F.abs(F.col("mixed_tokens") - F.col("quota_tokens")) * 100 <= F.col("quota_tokens")
-    return shares.select("source", "n_documents", within.alias("within_caps"), (near | F.coalesce(full, F.lit(False))).alias("quota_met"))
+    quotas = shares.select("source", "source_tokens", "max_repeats", F.col("quota_blocks").alias("quota"))
+    better = mixing.fitting(drawn.join(shares.select("source", "max_repeats"), "source"), quotas, mixing.BLOCK_TOKENS).select("source", F.lit(False).alias("met")).distinct()
+    return shares.join(better, "source", "left").select("source", "n_documents", within.alias("within_caps"), F.coalesce("met", F.lit(True)).alias("quota_met"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
