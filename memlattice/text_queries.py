@@ -144,12 +144,16 @@ _LINE = r"regexp_extract(text, '[^\r\n]*[^\s][^\r\n]*')"
 _WORDS = rf"list_distinct(list_filter(string_split_regex(lower(regexp_replace({{}}, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP})))"
 
 
-@query(rf"""
-with q as (select doc_id as prompt_id, project_id, unnest({_WORDS.format(_LINE)}) as word from documents where doc_id % 50 = 0),
+def _search_sql(prompt: str) -> str:
+    return rf"""
+with q as (select doc_id as prompt_id, project_id, unnest({_WORDS.format(prompt)}) as word from documents where doc_id % 50 = 0),
 t as (select doc_id, project_id, unnest({_WORDS.format('text')}) as token from documents),
 e as (select q.project_id, prompt_id, doc_id, word, case when word = token then 2.0 else 0.5 end as s from q join t on q.project_id = t.project_id and (word = token or (length(word) > 3 and (contains(token, word) or contains(word, token))))),
 b as (select project_id, prompt_id, doc_id, sum(s) as score from (select project_id, prompt_id, doc_id, word, max(s) as s from e group by all) group by all)
-select prompt_id, doc_id, cast(score as double) as score, cast(rank as bigint) as rank from (select *, row_number() over (partition by prompt_id order by score desc, doc_id) as rank from b) where rank <= 8""")
+select prompt_id, doc_id, cast(score as double) as score, cast(rank as bigint) as rank from (select *, row_number() over (partition by prompt_id order by score desc, doc_id) as rank from b) where rank <= 8"""
+
+
+@query(_search_sql(_LINE))
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
     """For the first line of every fiftieth document (doc_id divisible by 50) as a prompt: the eight documents of its
     project that share most with it, whole words counting 2 and words that hold one another 0.5. ``search_whole_documents``
@@ -165,7 +169,7 @@ def _searched(docs: DataFrame, prompt: Column) -> DataFrame:
     return top.select("prompt_id", F.col("row_id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(None)
+@query(_search_sql("text"))
 def search_whole_documents(spark: SparkSession, d: str) -> DataFrame:
     """As ``search_documents``, with the whole text of every fiftieth document as a prompt."""
     return _searched(_documents(spark, d), F.col("text"))
