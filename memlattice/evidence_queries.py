@@ -177,4 +177,4 @@ def mission_levels(spark: SparkSession, d: str) -> DataFrame:
     missions = _missions(spark, d).filter("mission_id is not null")
     known = missions.select(F.col("mission_id").alias("needed"), "project_id")
     needs = missions.select(F.col("mission_id").alias("id"), "project_id", F.explode(clean_ids("depends_on")).alias("needed")).join(known, ["needed", "project_id"], "left_semi")
-    return ordering.levels(missions.select(F.col("mission_id").alias("id")), needs.select("id", "needed")).withColumnRenamed("id", "mission_id")
+    return ordering.levels(missions.select(F.col("mission_id").alias("id")), needs.select("id", "needed", "project_id"), "project_id").withColumnRenamed("id", "mission_id")

@@ -223,14 +223,14 @@ select a.id as mission_id, min(b.id) as circle from reach a join reach b on a.id
 def mission_circles(spark: SparkSession, d: str) -> DataFrame:
     """Missions that wait for one another in a circle, however far around; a circle is named by its least mission."""
     ids, needs = _needs(spark, d)
-    return ordering.circles(ids, needs).select(F.col("id").alias("mission_id"), "circle")
+    return ordering.circles(ids, needs, "project_id").select(F.col("id").alias("mission_id"), "circle")
 
 
 def _needs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     missions = _missions(spark, d).filter("mission_id is not null")
     known = missions.select(F.col("mission_id").alias("needed"), "project_id")
     needs = missions.select(F.col("mission_id").alias("id"), "project_id", F.explode(clean_ids("depends_on")).alias("needed")).join(known, ["needed", "project_id"], "left_semi")
-    return missions.select(F.col("mission_id").alias("id")), needs.select("id", "needed")
+    return missions.select(F.col("mission_id").alias("id")), needs.select("id", "needed", "project_id")
 
 
 @query(f"""with m as {_MS}, e as (select distinct mission_id as id, {_ID.format('r')} as needed from (select mission_id, project_id, unnest(depends_on) as r from m) x where exists (select 1 from m t where t.mission_id = {_ID.format('x.r')} and t.project_id = x.project_id)),

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_id
+from ..plans.blocks import whole_groups
 from ..plans.dictionary import hot_keys, look_up, ordered_ids
 from ..plans.settle import broadcast_if_small, discard, settle
 from ..plans.versions import newest
@@ -133,24 +134,7 @@ def _block(rows: pa.Table) -> pa.RecordBatch:
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """``_block`` over runs of whole projects of at most about ``most`` rows; rows come sorted by project and id."""
-    held: list[pa.Table] = []
-    size, project = 0, None
-    for batch in batches:
-        names = batch.column("project_id").dictionary_encode()
-        codes = names.indices.to_numpy()
-        starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:]):
-            if a == b:
-                continue
-            now = names[a].as_py()
-            if held and now != project and size >= most:
-                yield _block(pa.concat_tables(held))
-                held, size = [], 0
-            project = now
-            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-            size += b - a
-    if held:
-        yield _block(pa.concat_tables(held))
+    return map(_block, whole_groups(batches, "project_id", most))
 
 
 def cycle_nodes(links: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlattice.operators import checks, ordering, ranking
@@ -76,18 +77,30 @@ def test_node_rules(spark):
     assert checks.tree_metrics(nodes).collect()[0].mean_explanation_length == 54.67
 
 
-def test_levels(spark):
-    needs = [("b", "a"), ("c", "b"), ("c", "a"), ("c", "a"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
+@pytest.mark.parametrize("grouped", [None, 1 << 18, 3])
+def test_levels(spark, grouped):
+    needs = [("b", "a"), ("c", "b"), ("c", "a"), ("c", "a"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s"), (None, "a"), ("a", None)]
     nodes = spark.createDataFrame([(n,) for n in "abcdxyzs"], "id string")
-    out = ordering.levels(nodes, spark.createDataFrame(needs, "id string, needed string"))
+    how = {} if grouped is None else {"within": "g", "block": grouped}
+    group = lambda n: None if n == "s" else "p" if n and n < "e" else "q"
+    out = ordering.levels(nodes, spark.createDataFrame([(*e, group(e[0])) for e in needs], "id string, needed string, g string"), **how)
     assert {r.id: r.level for r in out.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "x": None, "y": None, "z": None, "s": None}
-    chain = spark.range(1, 12).selectExpr("cast(id as string) id", "cast(id - 1 as string) needed")
-    deep = ordering.levels(spark.range(12).selectExpr("cast(id as string) id"), chain)
+    chain = spark.range(1, 12).selectExpr("cast(id as string) id", "cast(id - 1 as string) needed", "1 g")
+    deep = ordering.levels(spark.range(12).selectExpr("cast(id as string) id"), chain, **how)
     assert {r.id: r.level for r in deep.collect()} == {str(i): i for i in range(12)}
-    assert ordering.levels(nodes.limit(0), out.select("id", F.col("id").alias("needed")).limit(0)).count() == 0
+    assert ordering.levels(nodes.limit(0), out.select("id", F.col("id").alias("needed"), F.lit("p").alias("g")).limit(0), **how).count() == 0
 
 
-def test_circles_like_brute_force(spark):
+def test_deep_chain_in_one_group(spark):
+    deep = spark.range(1, 50_000).selectExpr("id", "id - 1 needed", "'p' g")
+    out = ordering.levels(spark.range(50_000), deep, "g")
+    assert out.filter("level = id").count() == 50_000 == out.count()
+    ring = deep.union(spark.sql("select 0L, 49999L, 'p'"))
+    assert [tuple(r) for r in ordering.circles(spark.range(50_000), ring, "g").groupBy("circle").count().collect()] == [(0, 50_000)]
+
+
+@pytest.mark.parametrize("grouped", [None, 1 << 18])
+def test_circles_like_brute_force(spark, grouped):
     r = random.Random(6)
     graphs = [[(f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(k)] for k in (10, 16, 26)]
     graphs.append([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a"), ("e", "h"), ("x", "gone")])
@@ -99,5 +112,6 @@ def test_circles_like_brute_force(spark):
             for n in names:
                 reach[n] |= set().union(*(reach[m] for m in reach[n]))
         want = {n: min(m for m in names if m in reach[n] and n in reach[m]) for n in names if n in reach[n]}
-        got = ordering.circles(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(graph, "id string, needed string"))
+        how = {} if grouped is None else {"within": "g", "block": grouped}
+        got = ordering.circles(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame([(*e, "p") for e in graph], "id string, needed string, g string"), **how)
         assert {x.id: x.circle for x in got.collect()} == want
