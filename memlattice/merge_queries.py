@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import paths as P
 from .functions import text as T
 from .functions.cleaning import clean_id, clean_ids, clean_path, clean_paths, utc_time
-from .memory_queries import _BLANKS, _BS, _CR, _FILES, _ID, _LINKS, _LIVE, _MS, _PATH, _SC, _TIME, _candidates, _changed_files, _changes, _live, _missions, _valid
-from .operators import checks, flattening, hierarchy, merging, ordering, ranking
+from .memory_queries import _BLANKS, _BS, _CR, _FILES, _ID, _LINKS, _LIVE, _MS, _PATH, _SC, _SD, _TIME, _candidates, _changed_files, _changes, _live, _missions, _valid
+from .operators import checks, flattening, hierarchy, matching, merging, ordering, ranking
 from .plans.dictionary import dense_ids, hot_keys, look_up
 from .plans.settle import settle
 from .plans.versions import newest
@@ -466,3 +466,30 @@ def nearest_folders(spark: SparkSession, d: str) -> DataFrame:
     deepest = above.groupBy("contract_id", "path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
     out = files.select("contract_id", "path").join(deepest, ["contract_id", "path"], "left")
     return out.withColumn("n_steps", F.coalesce(F.size(F.split("folder", "/")).cast("bigint"), F.lit(0)))
+
+
+@query(f"""with b as {_BS}, c as {_SD}, s as (select {_ID.format('budget_id')} as budget_id, count(*) as n, sum(greatest(estimated_tokens, 0)) as tokens from c group by 1)
+select {_ID.format('b.budget_id')} as budget_id, max_tokens, coalesce(n, 0) as n_candidates, cast(coalesce(tokens, 0) as bigint) as n_tokens, case when max_tokens is not null then cast(greatest(coalesce(tokens, 0) - max_tokens, 0) as bigint) end as n_over
+from b left join s on s.budget_id = {_ID.format('b.budget_id')} where {_ID.format('b.budget_id')} is not null""")
+def budget_overruns(spark: SparkSession, d: str) -> DataFrame:
+    """What all candidates of each budget need, and by how much that is more than its limit (null: no limit). Null and negative sizes need
+    nothing; a budget without candidates has none."""
+    budgets = newest(read_table(spark, d, "budget_states"), {"budget_id": clean_id("budget_id")}, "ingested_at", {"max_tokens": F.col("max_tokens")}).filter("budget_id is not null")
+    needed = _candidates(spark, d).groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.sum(F.greatest("estimated_tokens", F.lit(0)).cast("bigint")).alias("n_tokens"))
+    met = budgets.join(needed, "budget_id", "left").na.fill(0, ["n_candidates", "n_tokens"])
+    over = F.when(F.col("max_tokens").isNotNull(), F.greatest(F.col("n_tokens") - F.col("max_tokens"), F.lit(0)).cast("bigint"))
+    return met.select("budget_id", "max_tokens", "n_candidates", "n_tokens", over.alias("n_over"))
+
+
+@query(f"""with {_FILES}, k as (select distinct project_id, path from files where path is not null),
+m as (select distinct mission_id, project_id, case when contains(path, '/') then regexp_replace(path, '[^/]+$', '**') else path end as pattern from (select mission_id, project_id, {_PATH.format('f')} as path from (select *, unnest(affected_files) as f from {_MS})) where path is not null),
+p as (select project_id, pattern, count(*) as n_missions from m group by all)
+select p.project_id, pattern, n_missions, count(path) as n_files from p left join k on k.project_id = p.project_id and (path = pattern or (ends_with(pattern, '/**') and starts_with(path, left(pattern, -2)))) group by all""")
+def folder_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Missions claim the folders of their files ('folder/**', at the top the file itself): how many missions claim each, and how many changed
+    files of the project match it."""
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "[^/]+$", "**")).otherwise(F.col("path"))
+    claims = _missions(spark, d).select("mission_id", "project_id", F.explode(clean_paths("affected_files")).alias("path")).select("mission_id", "project_id", folder.alias("pattern")).distinct()
+    claimed = claims.groupBy("project_id", "pattern").agg(F.count(F.lit(1)).alias("n_missions"))
+    matched = matching.pattern_counts(_changed_files(spark, d).select("project_id", "path").distinct(), "path", ["project_id"])
+    return claimed.join(matched, ["project_id", "pattern"], "left").na.fill(0, ["n_files"])

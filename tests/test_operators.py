@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from memlattice.operators import checks, ordering, ranking
+from memlattice.operators import checks, matching, ordering, ranking
 
 
 def test_overlap_like_brute_force(spark):
@@ -115,3 +115,14 @@ def test_circles_like_brute_force(spark, grouped):
         how = {} if grouped is None else {"within": "g", "block": grouped}
         got = ordering.circles(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame([(*e, "p") for e in graph], "id string, needed string, g string"), **how)
         assert {x.id: x.circle for x in got.collect()} == want
+
+
+def test_patterns_like_brute_force(spark):
+    files = ["a.ts", "src/a.ts", "src/b/c.ts", "src/b/d/e.ts", "srcs/a.ts", "**", "", None]
+    rows = spark.createDataFrame([("p", f) for f in files] + [("q", "src/a.ts"), (None, "src/a.ts")], "project_id string, path string")
+    got = {(r.project_id, r.pattern): r.n_files for r in matching.pattern_counts(rows, "path", ["project_id"]).collect()}
+    for pattern in ("a.ts", "src/**", "src/b/**", "src/b/d/**", "src/b/c.ts", "sr/**", "src"):
+        want = sum(f is not None and (f == pattern or (pattern.endswith("/**") and f.startswith(pattern[:-2]))) for f in files)
+        assert got.get(("p", pattern), 0) == want
+    assert got["q", "src/**"] == 1 == got[None, "src/**"] and got["p", "**"] == 7
+    assert matching.pattern_counts(rows.limit(0), "path", ["project_id"]).count() == 0
