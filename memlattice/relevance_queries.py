@@ -25,9 +25,8 @@ def _prompts(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("prompt_id is not null")
 
 
-def _scored(spark: SparkSession, d: str, rows: DataFrame, fields: dict[str, int]) -> DataFrame:
-    values = relevance.field_values(rows, ["project_id"], "row_id", fields)
-    scored = relevance.field_relevance(_prompts(spark, d), values, ["project_id"])
+def _scored(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
+    scored = relevance.field_relevance(_prompts(spark, d), values, ["project_id"], most=8)
     top = ranking.top_per_group(scored, ["prompt_id"], [F.desc("score"), F.asc("row_id")], 8)
     return top.select("prompt_id", "row_id", "score", "n_reasons", "fields", F.col("rank").cast("bigint").alias("rank"))
 
@@ -51,7 +50,7 @@ select prompt_id, row_id, score, n_reasons, fields, rank from (select *, row_num
 def node_relevance(spark: SparkSession, d: str) -> DataFrame:
     """The eight live nodes of its project that match each contract's prompt best, over their weighted fields."""
     rows = _live(spark, d).select("project_id", F.col("node_id").alias("row_id"), "title", "summary", "explanation", "source_files")
-    return _scored(spark, d, rows, {"title": 4, "summary": 3, "explanation": 2, "source_files": 3})
+    return _scored(spark, d, relevance.field_values(rows, ["project_id"], "row_id", {"title": 4, "summary": 3, "explanation": 2, "source_files": 3}))
 
 
 @query(_scored_sql(f"""with {_FILES}, o as (select distinct project_id, {_PATH.format('f')} as path, title, summary from (select *, unnest(source_files) as f from {_LIVE})),
@@ -62,7 +61,7 @@ def file_relevance(spark: SparkSession, d: str) -> DataFrame:
     owned = _live(spark, d).select("project_id", "title", "summary", F.explode(clean_paths("source_files")).alias("path")).distinct()
     files = _changed_files(spark, d).select("project_id", "path").distinct()
     told = files.join(owned, ["project_id", "path"], "left").groupBy("project_id", F.col("path").alias("row_id")).agg(F.collect_list("title").alias("owners"), F.collect_list("summary").alias("summaries"))
-    return _scored(spark, d, told.withColumn("path", F.col("row_id")), {"path": 4, "owners": 3, "summaries": 2})
+    return _scored(spark, d, relevance.field_values(told.withColumn("path", F.col("row_id")), ["project_id"], "row_id", {"path": 4, "owners": 3, "summaries": 2}))
 
 
 def _named(spark: SparkSession, d: str, array: str, field: str) -> DataFrame:
@@ -76,8 +75,8 @@ def _named_sql(array: str, field: str) -> str:
 
 
 def _named_relevance(spark: SparkSession, d: str, array: str, field: str, name: int, reason: int) -> DataFrame:
-    told = _named(spark, d, array, field).groupBy("project_id", F.col("name").alias("row_id")).agg(F.collect_set("reason").alias("reasons"))
-    return _scored(spark, d, told.withColumn("name", F.col("row_id")), {"name": name, "reasons": reason})
+    told = _named(spark, d, array, field).select("project_id", F.col("name").alias("row_id"), "name", F.col("reason").alias("reasons"))
+    return _scored(spark, d, relevance.field_values(told, ["project_id"], "row_id", {"name": name, "reasons": reason}).distinct())
 
 
 def _named_relevance_sql(array: str, field: str, name: int, reason: int) -> str:

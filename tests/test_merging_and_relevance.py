@@ -1,10 +1,15 @@
+import random
+import re
 from datetime import datetime as T
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from memlattice.functions import text as X
-from memlattice.operators import hierarchy, merging, relevance
+from memlattice.operators import hierarchy, merging, ranking, relevance
+from memlattice.plans import settle
 
 D = [T(2025, 1, d) for d in range(1, 9)]
 
@@ -111,3 +116,103 @@ def test_numstat_lines(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, x string")
     got = [r.y and tuple(r.y) for r in df.select("i", X.numstat("x").alias("y")).orderBy("i").collect()]
     assert got == [(36, 4, "a/b.ts", False), (0, 0, "img.png", True), None, None, None, None, (0, 7, "odd\tname", False)]
+
+
+def brute_scores(prompts, values):
+    """(prompt, row) -> score, reasons, fields; ``values``: row, field, weight, value."""
+    out = {}
+    for prompt, text in prompts:
+        words = {w for w in re.split("[^a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", text).lower()) if len(w) > 1 and w not in X.PROMPT_STOP_WORDS}
+        for row, field, weight, value in values:
+            tokens = {t for t in re.split("[^a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1 \2", value).lower()) if len(t) > 1}
+            points = [3 if w in tokens else 1 for w in words if any(w in t for t in tokens)]
+            if points:
+                whole = text.strip(" ").lower() in value.lower()
+                old = out.get((prompt, row), (0, 0, set()))
+                out[prompt, row] = old[0] + weight * (sum(points) + 5 * whole), old[1] + len(points) + whole, old[2] | {field}
+    return out
+
+
+def best(scores, most):
+    """The same as sorted rows with their fields as text, at most ``most`` of each prompt."""
+    out, seen = [], {}
+    for (prompt, row), (score, n, fields) in sorted(scores.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
+        seen[prompt] = seen.get(prompt, 0) + 1
+        if most is None or seen[prompt] <= most:
+            out.append((prompt, row, score, n, ",".join(sorted(fields))))
+    return out
+
+
+def drawn_texts(seed, n_prompts, n_rows):
+    """Prompts and values of few words in many spellings, so that scores tie, words are in words and values hold whole prompts."""
+    draw = random.Random(seed)
+    words = ["log", "cache", "logCache", "Catalog", "LOG", "é", "İx", "the", "a", "b2", "in", "ca", "aBcd", "ABCD", "loGCache"]
+    text = lambda most: draw.choice(["", " "]) + draw.choice([" ", "-", "", ". "]).join(draw.choices(words, k=draw.randint(1, most)))
+    prompts = [(i, text(4)) for i in range(n_prompts)]
+    values = [(f"r{i:03}", field, weight, text(6)) for i in range(n_rows) for field, weight in (("title", 4), ("files", 3), ("files", 3)) if draw.random() < 0.8]
+    return prompts, [v for v in values if v[3].strip(" ")]
+
+
+@pytest.mark.parametrize("table, batch, kept", [(1 << 22, 1 << 18, 1 << 22), (1, 128, 1), (1, 100_000, 1)])
+@pytest.mark.parametrize("most", [3, None])
+def test_tiles_in_parts(monkeypatch, table, batch, kept, most):
+    """Rows in parts of 64, prompts one by one or together, only the best kept at once: all the same."""
+    monkeypatch.setattr(relevance, "TABLE", table)
+    monkeypatch.setattr(relevance, "BATCH", batch)
+    monkeypatch.setattr(relevance, "KEPT", kept)
+    prompts, values = drawn_texts(7, 40, 600)
+    asked = [(i, t, list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", t).lower()) if len(w) > 1 and w not in X.PROMPT_STOP_WORDS))) for i, t in prompts]
+    asked = [x for x in asked if x[2]]
+    left = pa.table({"g": ["p"] * len(asked), "prompt_id": pa.array([x[0] for x in asked], pa.int32()), "phrase": [x[1].strip(" ").lower() for x in asked], "words": [x[2] for x in asked]})
+    plain = pa.array([None] * len(values), pa.string())
+    right = pa.table({"row_id": [v[0] for v in values], "field": [v[1] for v in values], "weight": pa.array([v[2] for v in values], pa.int32()), "value": [v[3] for v in values], "low": plain, "camel": plain})
+    out = relevance._tile(left, right, ["g"], "prompt_id", "row_id", most).to_pylist()
+    want = best(brute_scores(prompts, values), most)
+    assert sorted((r["prompt_id"], r["row_id"], r["score"], r["n_reasons"], r["fields"]) for r in out) == sorted(want) and len(want) > 80
+
+
+def test_best_rows_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(relevance, "TILE_VALUES", 50)
+    monkeypatch.setattr(relevance, "TILE_PROMPTS", 7)
+    frames, want = [[], []], []
+    for seed, group in enumerate(("p", "q")):
+        prompts, values = drawn_texts(seed, 30, 100)
+        prompts = [(i + 100 * seed, t) for i, t in prompts]
+        frames[0] += [(group, *p) for p in prompts] + [(None, 900, "log"), ("alone", 901, "log")]
+        frames[1] += [(group, *v) for v in values] + [(None, "x", "title", 4, "log"), ("bare", "x", "title", 4, "log")]
+        want += best(brute_scores(prompts, values), 5)
+    asked = spark.createDataFrame(frames[0], "g string, prompt_id int, text string")
+    told = spark.createDataFrame(frames[1], "g string, row_id string, field string, weight int, value string")
+    for few in (100_000, 1):
+        monkeypatch.setattr(settle, "BROADCAST_ROWS", few)
+        found = relevance.field_relevance(asked, told, ["g"], most=5)
+        out = ranking.top_per_group(found, ["prompt_id"], [F.desc("score"), F.asc("row_id")], 5).collect()
+        assert sorted((r.prompt_id, r.row_id, r.score, r.n_reasons, r.fields) for r in out) == sorted(want)
+    assert relevance.field_relevance(asked, told.limit(0), ["g"], most=5).count() == relevance.field_relevance(asked.limit(0), told, ["g"]).count() == 0
+
+
+def shuffled_rows(spark):
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+CONTRACTS = "contract_id string, project_id string, prompt string, ingested_at timestamp"
+
+
+def few_shuffled(spark, folder, name, pairs):
+    """The query's rows; it may not shuffle a tenth of the pairs of a prompt and a value that share words."""
+    before = shuffled_rows(spark)
+    rows = __spark_entry__.queries()[name](spark, str(folder)).collect()
+    assert 0 < shuffled_rows(spark) - before < pairs / 10
+    return sorted((r.prompt_id, r["rank"], r.row_id, r.score, r.n_reasons, r.fields) for r in rows)
+
+
+def test_concepts_with_many_reasons_and_prompts(spark, tmp_path):
+    """A concept's reasons are added up before prompts meet them: one project, 300 prompts, 600 different reasons."""
+    spark.createDataFrame([(f"c{i:03}", "p", f"move cache {i}x", D[0]) for i in range(300)], CONTRACTS).write.parquet(str(tmp_path / "scope_contracts.parquet"))
+    goals = [(f"g{i:03}", "p", [(f"concept.k{i % 2}", f"cache reason {i}", 0.5), (f"concept.k{i % 2}", f"cache reason {i}", 0.4)], D[0]) for i in range(600)]
+    spark.createDataFrame(goals, "goal_id string, project_id string, affected_concepts array<struct<concept_id:string,reason:string,confidence:double>>, ingested_at timestamp").write.parquet(str(tmp_path / "goal_affected_trees.parquet"))
+    rows = few_shuffled(spark, tmp_path, "concept_relevance", 300 * 600)
+    assert rows == [(f"c{i:03}", k + 1, f"concept.k{k}", 300 * 9, 300, "reasons") for i in range(300) for k in range(2)]
