@@ -9,6 +9,7 @@ from .functions import text as T
 from .functions.cleaning import clean_id, clean_ids, clean_paths
 from .memory_queries import _FILES, _ID, _LIVE, _MS, _PATH, _SC, _changed_files, _live, _missions, _valid
 from .operators import ranking, relevance
+from .plans.settle import settle
 from .plans.versions import newest
 from .registry import Registry
 from .sources.tables import read_table
@@ -59,9 +60,10 @@ select project_id, path as row_id, 'path' as field, 4 as weight, path as value f
 def file_relevance(spark: SparkSession, d: str) -> DataFrame:
     """The eight changed files of its project that match each contract's prompt best, by path, titles and summaries of the nodes that own them."""
     owned = _live(spark, d).select("project_id", "title", "summary", F.explode(clean_paths("source_files")).alias("path")).distinct()
-    files = _changed_files(spark, d).select("project_id", "path").distinct()
-    told = files.join(owned, ["project_id", "path"], "left").groupBy("project_id", F.col("path").alias("row_id")).agg(F.collect_list("title").alias("owners"), F.collect_list("summary").alias("summaries"))
-    return _scored(spark, d, relevance.field_values(told.withColumn("path", F.col("row_id")), ["project_id"], "row_id", {"path": 4, "owners": 3, "summaries": 2}))
+    files = settle(_changed_files(spark, d).select("project_id", "path").distinct().withColumn("row_id", F.col("path")))
+    owners = files.join(owned, ["project_id", "path"]).select("project_id", "row_id", F.col("title").alias("owners"), F.col("summary").alias("summaries"))
+    told = [relevance.field_values(rows, ["project_id"], "row_id", fields) for rows, fields in ((files, {"path": 4}), (owners, {"owners": 3, "summaries": 2}))]
+    return _scored(spark, d, told[0].unionByName(told[1]))
 
 
 def _named(spark: SparkSession, d: str, array: str, field: str) -> DataFrame:

@@ -216,3 +216,18 @@ def test_concepts_with_many_reasons_and_prompts(spark, tmp_path):
     spark.createDataFrame(goals, "goal_id string, project_id string, affected_concepts array<struct<concept_id:string,reason:string,confidence:double>>, ingested_at timestamp").write.parquet(str(tmp_path / "goal_affected_trees.parquet"))
     rows = few_shuffled(spark, tmp_path, "concept_relevance", 300 * 600)
     assert rows == [(f"c{i:03}", k + 1, f"concept.k{k}", 300 * 9, 300, "reasons") for i in range(300) for k in range(2)]
+
+
+def test_files_with_many_owners_and_prompts(spark, tmp_path):
+    """One file of 300 nodes and 100 others, some without owners, before 200 prompts of one project; equal nodes count once, files without owners stay."""
+    spark.createDataFrame([(f"c{i:03}", "p", f"tune cache {i}x", D[0]) for i in range(200)], CONTRACTS).write.parquet(str(tmp_path / "scope_contracts.parquet"))
+    files = ["src/hub.ts", *(f"src/cache{i:02}.ts" for i in range(100))]
+    changes = [(f"h{k}", "p", None, "2025-01-01", "t", "low", [], files, D[0]) for k in range(2)]
+    spark.createDataFrame(changes, "change_id string, project_id string, file_path string, changed_at string, title string, risk string, affected_node_ids array<string>, files_changed array<string>, ingested_at timestamp").write.parquet(str(tmp_path / "change_records.parquet"))
+    told = [(f"n{i:03}", f"Cache {i}", "cache of all", ["src/hub.ts"]) for i in range(300)] + [(f"t{k}", "Tune", None, ["src/cache07.ts", "src/gone.ts"]) for k in range(2)]
+    schema = "node_id string, title string, summary string, source_files array<string>, project_id string, ingested_at timestamp"
+    others = {"abstraction_level": "string", "explanation": "string", "confidence": "double", "created_at": "timestamp", "deleted_at": "timestamp"}
+    spark.createDataFrame([(*t, "p", D[0]) for t in told], schema).select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in others.items())).write.parquet(str(tmp_path / "tree_nodes.parquet"))
+    rows = few_shuffled(spark, tmp_path, "file_relevance", 200 * 700)
+    want = [("src/hub.ts", 300 * (3 + 2) * 3, 600, "owners,summaries"), ("src/cache07.ts", 4 + 9, 2, "owners,path"), *((f"src/cache{i:02}.ts", 4, 1, "path") for i in (0, 1, 2, 3, 4, 5))]
+    assert rows == [(f"c{i:03}", k + 1, *w) for i in range(200) for k, w in enumerate(want)]
