@@ -57,7 +57,7 @@ def field_relevance(prompts: DataFrame, values: DataFrame, within: list[str], pr
     odd = F.octet_length(text) != F.length(text)  # Python's lower case may differ from Spark's there
     camel = F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
     told = settle(values.select(*within, row, "field", "weight", "value").dropna(subset=within))
-    asked = settle(prompts.select(*within, prompt, F.lower(F.btrim("text")).alias("phrase"), T.prompt_tokens("text").alias("words")).filter(F.size("words") > 0).dropna(subset=within))
+    asked = settle(prompts.select(*within, prompt, F.lower(F.btrim("text")).alias("phrase"), T.prompt_tokens("text").alias("words")).dropna(subset=within)).filter(F.size("words") > 0)
     tiles = lambda n, size: F.ceil(n / size).cast("int")
     values_of = told.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), F.greatest(tiles(F.count(F.lit(1)), TILE_VALUES), tiles(F.sum(F.length("value")), TILE_LETTERS)).alias("row_tiles"))
     prompts_of = asked.groupBy(*within).agg(tiles(F.count(F.lit(1)), TILE_PROMPTS).alias("prompt_tiles"))
@@ -232,7 +232,7 @@ def _tile(asked: pa.Table, told: pa.Table, within: list[str], prompt: str, row:
                 deep = n // groups
                 tops = keys[:, : groups * deep].reshape(len(some), deep, groups).max(1)
                 least = np.maximum(np.partition(tops, groups - most, axis=1)[:, groups - most], n)[:, None]  # the best rows are no less than this
-            k, r = np.nonzero(keys >= least)
+            k, r = np.divmod(np.flatnonzero(keys >= least), n)
             s_n, s_bit = reasons[words_of[k], r[:, None]].sum(1), np.bitwise_or.reduce(marks[words_of[k], r[:, None]], axis=1)
             if len(x_q) and len(mine):
                 pair, known = some[k] * len(rows) + r + r0, x_q * len(rows) + x_row

@@ -231,3 +231,15 @@ def test_files_with_many_owners_and_prompts(spark, tmp_path):
     rows = few_shuffled(spark, tmp_path, "file_relevance", 200 * 700)
     want = [("src/hub.ts", 300 * (3 + 2) * 3, 600, "owners,summaries"), ("src/cache07.ts", 4 + 9, 2, "owners,path"), *((f"src/cache{i:02}.ts", 4, 1, "path") for i in (0, 1, 2, 3, 4, 5))]
     assert rows == [(f"c{i:03}", k + 1, *w) for i in range(200) for k, w in enumerate(want)]
+
+
+def test_nodes_that_all_match_all_prompts(spark, tmp_path):
+    """400 prompts and 400 nodes of one project that share words: the eight best of each by score, then id, without shuffling the pairs."""
+    spark.createDataFrame([(f"c{i:03}", "p", f"tune cache {i}x", D[0]) for i in range(400)], CONTRACTS).write.parquet(str(tmp_path / "scope_contracts.parquet"))
+    schema = "node_id string, title string, explanation string, source_files array<string>, project_id string, ingested_at timestamp"
+    others = {"abstraction_level": "string", "summary": "string", "confidence": "double", "created_at": "timestamp", "deleted_at": "timestamp"}
+    nodes = [(f"n{i:03}", "Caches", "keeps the cache", ["src/cacheTune.ts"] if i == 399 else None, "p", D[0]) for i in range(400)]
+    spark.createDataFrame(nodes, schema).select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in others.items())).write.parquet(str(tmp_path / "tree_nodes.parquet"))
+    rows = few_shuffled(spark, tmp_path, "node_relevance", 400 * 800)
+    want = [("n399", 4 + 6 + 18, 4, "explanation,source_files,title"), *((f"n{i:03}", 4 + 6, 2, "explanation,title") for i in range(7))]
+    assert rows == [(f"c{i:03}", k + 1, *w) for i in range(400) for k, w in enumerate(want)]
